@@ -2,11 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidelake.llm import bpe, common, decontaminate, langid, linededup, minhash
+
+#: What documents has, and each stage but the last returns.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose nearest language is no nearer than this is in none of those learned.
+LEAST_SCORE = 0.2
+#: Rows of a decision table that are broadcast; above that it is shuffled with the documents.
+BROADCAST = 500_000
+
+
+def _columns(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of documents, with another text and its length if one is given."""
+    return docs.select(*COLUMNS) if text is None else docs.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts in one of the languages learned from labelled rows: those without a letter or too far from all go."""
+    common.importable(spark)
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, profiles, keep=["text", "lang", "source", "n_chars"])
+    return _columns(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeats of runs of lines; a document that has no word left by that goes."""
+    out = linededup.line_dedup(docs)
+    return _columns(out.where("n_deleted < n_lines OR n_deleted = 0"), F.col("text"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, the one of the smallest id."""
+    common.importable(spark)
+    gone = common.cut(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    return _columns(docs.join(common.broadcast_if_small(gone, BROADCAST), "doc_id", "left_anti"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that share no window of ten words with the benchmark."""
+    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    gone = common.cut(found.where("contaminated").select("doc_id").distinct())
+    return _columns(docs.join(common.broadcast_if_small(gone, BROADCAST), "doc_id", "left_anti"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives the text again."""
+    import public_tokenizers
+
+    common.importable(spark)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        out = bpe.encode_decode(docs, f.read(), public_tokenizers.PATTERN, keep=True)
+    return out.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", F.col("decoded").alias("text"))
+
+
+STAGES = [("language", language), ("line_dedup", lines), ("near_dedup", near), ("decontaminate", benchmark), ("bpe", encode)]
+#: Learning, linking and encoding are beyond SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to documents, writing each result to the shared folder and reading it again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = common.scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, warc
-from .common import table
+from . import bpe, decontaminate, langid, licenses, linededup, minhash, quality, sharding, substring, warc
+from .common import scratch, table
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/thousand/hundred/name, every 25th named LICENSE."""
+    at = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    name = F.when(F.col("doc_id") % 25 == 0, "LICENSE").otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), at(1000), at(100), name).alias("path"), "text")
+    return licenses.scan(files).drop("own_score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +29,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compacted shards hold, with a digest of each text."""
+    _, found = sharding.store_and_read(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return found.select("doc_id", "lang", "source", "n_chars", "arrival", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """``ranks``: the path of a rank file; by default the public 50k vocabulary."""
     import public_tokenizers
@@ -32,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_quality_rules, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -62,4 +90,24 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, c
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages), q AS (SELECT *, strlen(t) AS n, sha256(t) AS d FROM p),
 r AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM q)
 SELECT page_id, n::bigint AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url, true AS has_request, true AS has_metadata FROM r""",
+    "op5_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 34)) AS pos, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY array_to_string(w[pos:pos + 34], ' ')) AS n FROM g),
+r AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(generate_series(pos, pos + 34)) AS p FROM h WHERE n > 1) GROUP BY doc_id),
+x AS (SELECT doc_id, w, p, w[p] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d)),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM x LEFT JOIN (SELECT doc_id, unnest(gone) AS p FROM r) AS y USING (doc_id, p) WHERE y.p IS NULL GROUP BY x.doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op6_sharding": "SELECT doc_id, lang, source, n_chars, coalesce(((doc_id % 16) + 16) % 16, 0)::bigint AS arrival, sha256(text) AS text_sha256 FROM documents",
+    "op7_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid FROM l),
+s AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM f WHERE solid),
+w AS (SELECT doc_id, pos, h || chr(10) || lead(h) OVER o || chr(10) || lead(h, 2) OVER o AS k FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+q AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM w WHERE k IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM q WHERE n > 1),
+y AS (SELECT s.doc_id, s.i FROM s JOIN g USING (doc_id, pos)),
+k AS (SELECT f.doc_id, string_agg(line, chr(10) ORDER BY f.i) AS kept FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i WHERE y.i IS NULL GROUP BY f.doc_id),
+c AS (SELECT f.doc_id, count(*) FILTER (WHERE solid) AS n_lines, count(y.i) AS n_deleted FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i GROUP BY f.doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_deleted, 0)::bigint AS n_deleted, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
