@@ -1,11 +1,8 @@
-"""All queries over the operators, each with the SQL that gives the same rows where SQL can."""
+"""All queries over the operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import checks, relational, warehouse
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "checks", "relational", "warehouse"]

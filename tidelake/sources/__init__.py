@@ -1,0 +1 @@
+"""Reading and writing: lake tables, files, databases, paged services, and generators of test sources."""
