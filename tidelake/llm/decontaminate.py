@@ -13,17 +13,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_ascii, words
+from .common import cut, let, lower_ascii
 
-#: The separators of words after lower-casing, the window and the fingerprints (K + W - 1 = WINDOW).
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The separators of words, the window and the fingerprints (K + W - 1 = WINDOW).
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WINDOW, K, W = 10, 5, 6
+#: Low bits of a long that hold a place in a text.
+PLACES = (1 << 28) - 1
 #: Rows of the benchmark side that one pass broadcasts (under 100 MB); a larger benchmark is taken in blocks of so many.
 BLOCK = 200_000
 
 
 def item_words(text: Column) -> Column:
-    return words(lower_ascii(text), SEPARATORS)
+    """Split before lower-casing, which is cheap for words of ASCII letters; only other words are translated by letter."""
+    low = lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(lower_ascii(w))
+    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SEPARATORS}+"), ""), low)
 
 
 def grams(w: Column, n: int) -> Column:
@@ -33,11 +37,19 @@ def grams(w: Column, n: int) -> Column:
 
 
 def fingerprints(w: Column) -> Column:
-    """Places and hashes of the winnowed K-grams of texts with WINDOW words or more; else none."""
-    none = F.array().cast("array<struct<h:bigint,back:int>>")
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, K)).alias("h"), (-i).alias("back")))
+    """Places of the winnowed K-grams of texts with WINDOW words or more; else none.
+
+    A gram's hash and its place, counted down, share one long, so that the least of a window is its smallest hash and,
+    of equal ones, the rightmost; which gram is chosen depends on the window's words alone.
+    """
+    keyed = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(F.slice(w, i + 1, K)).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
     least = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - W + 1), lambda i: F.array_min(F.slice(h, i, W))))
-    return F.when(F.size(w) < WINDOW, none).otherwise(let(hashes, least))
+    places = F.transform(let(keyed, least), lambda x: (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("int"))
+    return F.when(F.size(w) < WINDOW, F.array().cast("array<int>")).otherwise(places)
+
+
+def gram_hash(w: Column, at: Column) -> Column:
+    return F.xxhash64(F.slice(w, at + 1, K))
 
 
 def blocks_of(df: DataFrame, key: str, most: int) -> list[DataFrame]:
@@ -62,21 +74,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     items = cut(benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0))
     windows = items.select("item_id", F.explode(grams(F.col("w"), WINDOW)).alias("g")).groupBy("g.words").agg(F.collect_set("item_id").alias("items"))
     windows = cut(windows.select(F.col("words").alias("window"), "items"))
-    marks = cut(items.select(F.explode(let(F.col("w"), fingerprints)).alias("f")).select(F.col("f.h").alias("mark")).distinct())
+    marks = cut(items.select(F.explode(let(F.col("w"), lambda w: F.transform(fingerprints(w), lambda at: gram_hash(w, at)))).alias("mark")).distinct())
     short = items.where(F.size("w") < WINDOW).groupBy(F.size("w").alias("n"), F.array_join("w", " ").alias("window")).agg(F.collect_set("item_id").alias("items"))
     short = cut(short)
     lengths = [r[0] for r in short.select("n").distinct().collect()]  # under WINDOW values
 
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), item_words(F.col("text")).alias("w"))
     # Every row of ``docs`` comes once with no place, so that one pass over the texts also counts their words.
-    nothing = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("at"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("from"), F.size("w").alias("n"))
-
     def marked(w: Column) -> Column:
-        lo = lambda f: F.greatest(F.lit(0), -f["back"] - (WINDOW - K))
-        return F.transform(fingerprints(w), lambda f: F.struct(f["h"].alias("h"), (-f["back"]).alias("at"), F.slice(w, lo(f) + 1, F.least(-f["back"] + WINDOW, F.size(w)) - lo(f)).alias("around"), lo(f).alias("from"), F.lit(0).alias("n")))
+        lo = lambda at: F.greatest(F.lit(0), at - (WINDOW - K))
+        return F.transform(fingerprints(w), lambda at: F.struct(gram_hash(w, at).alias("h"), at.alias("at"), F.slice(w, lo(at) + 1, F.least(at + WINDOW, F.size(w)) - lo(at)).alias("around"), lo(at).alias("from"), F.lit(0).alias("n")))
 
     places = base.select("doc_id", "row", F.explode(let(F.col("w"), lambda w: F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("from"), F.size(w).alias("n"))), marked(w)))).alias("p")).select("doc_id", "row", "p.*")
-    del nothing
     hits = _union([places.join(b, F.col("h") == F.col("mark"), "left").where((F.col("at") < 0 if i == 0 else F.lit(False)) | F.col("mark").isNotNull()) for i, b in enumerate(blocks_of(marks, "mark", block))])
     around = F.when(F.col("at") < 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("words")))).otherwise(grams(F.col("around"), WINDOW))
     spans = hits.select("doc_id", "row", "n", "from", F.explode(around).alias("g")).select("doc_id", "row", F.col("n").cast("long").alias("n"), (F.col("from") + F.col("g.at")).alias("at"), F.lit(WINDOW).alias("len"), F.col("g.words").alias("words"))
