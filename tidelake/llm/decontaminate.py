@@ -22,6 +22,8 @@ WINDOW, K, W = 10, 5, 6
 PLACES = (1 << 28) - 1
 #: Rows of the benchmark side that one pass broadcasts (under 100 MB); a larger benchmark is taken in blocks of so many.
 BLOCK = 200_000
+#: A benchmark of at most so many fingerprints (160 kB) is looked up in the plan itself; a larger one is joined.
+LISTED = 20_000
 
 
 def item_words(text: Column) -> Column:
@@ -36,6 +38,11 @@ def grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) < n, F.array().cast("array<struct<at:int,words:string>>")).otherwise(F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("words"))))
 
 
+def _grams_of(n: int):
+    """A function of one argument, as those of lambdas have to be."""
+    return lambda w: grams(w, n)
+
+
 def fingerprints(w: Column) -> Column:
     """Places of the winnowed K-grams of texts with WINDOW words or more; else none.
 
@@ -62,7 +69,44 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+def _around(w: Column, at: Column) -> tuple[Column, Column]:
+    """The words of all windows that hold the gram at ``at``, and the place of the first."""
+    lo = F.greatest(F.lit(0), at - (WINDOW - K))
+    return F.slice(w, lo + 1, F.least(at + WINDOW, F.size(w)) - lo), lo
+
+
+def _spans_listed(base: DataFrame, marks: list[int]) -> DataFrame:
+    """(doc_id, row, n, at, words): the windows around each fingerprint that is among ``marks``, and for each row of
+    ``base`` one without words that has its number of words. Fingerprints are looked up before anything is exploded."""
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("words"))
+
+    def near(w: Column) -> Column:
+        def windows(at: Column) -> Column:
+            around, lo = _around(w, at)
+            return F.transform(grams(around, WINDOW), lambda g: F.struct((g["at"] + lo).alias("at"), g["words"].alias("words")))
+
+        hit = F.filter(fingerprints(w), lambda at: gram_hash(w, at).isin(marks)) if marks else F.array().cast("array<int>")
+        return F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(none), F.flatten(F.transform(hit, windows))).alias("g"))
+
+    rows = base.select("doc_id", "row", let(F.col("w"), near).alias("x"))
+    return rows.select("doc_id", "row", "x.n", F.explode("x.g").alias("g")).select("doc_id", "row", "n", "g.at", "g.words")
+
+
+def _spans_joined(base: DataFrame, marks: DataFrame, block: int) -> DataFrame:
+    """The same for any number of marks: fingerprints are exploded with the words around them and joined."""
+
+    def marked(w: Column) -> Column:
+        own = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("place"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("from"), F.size(w).alias("n"))
+        each = lambda at: F.struct(gram_hash(w, at).alias("h"), at.alias("place"), _around(w, at)[0].alias("around"), _around(w, at)[1].alias("from"), F.lit(0).alias("n"))
+        return F.concat(F.array(own), F.transform(fingerprints(w), each))
+
+    places = base.select("doc_id", "row", F.explode(let(F.col("w"), marked)).alias("p")).select("doc_id", "row", "p.*")
+    hits = _union([places.join(b, F.col("h") == F.col("mark"), "left").where((F.col("place") < 0 if i == 0 else F.lit(False)) | F.col("mark").isNotNull()) for i, b in enumerate(blocks_of(marks, "mark", block))])
+    windows = F.when(F.col("place") < 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("words")))).otherwise(grams(F.col("around"), WINDOW))
+    return hits.select("doc_id", "row", "n", "from", F.explode(windows).alias("g")).select("doc_id", "row", F.col("n").cast("long").alias("n"), (F.col("from") + F.col("g.at")).alias("at"), F.col("g.words").alias("words"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated, and hit_at (array of the first words of matched windows with their lengths).
 
@@ -70,7 +114,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     not as an item; items that repeat an id are one item with the windows of all. Rows that repeat a doc_id are judged
     each by its own text. Empty tables on either side are fine.
     """
-    spark = docs.sparkSession
     items = cut(benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0))
     windows = items.select("item_id", F.explode(grams(F.col("w"), WINDOW)).alias("g")).groupBy("g.words").agg(F.collect_set("item_id").alias("items"))
     windows = cut(windows.select(F.col("words").alias("window"), "items"))
@@ -80,19 +123,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     lengths = [r[0] for r in short.select("n").distinct().collect()]  # under WINDOW values
 
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), item_words(F.col("text")).alias("w"))
-    # Every row of ``docs`` comes once with no place, so that one pass over the texts also counts their words.
-    def marked(w: Column) -> Column:
-        lo = lambda at: F.greatest(F.lit(0), at - (WINDOW - K))
-        return F.transform(fingerprints(w), lambda at: F.struct(gram_hash(w, at).alias("h"), at.alias("at"), F.slice(w, lo(at) + 1, F.least(at + WINDOW, F.size(w)) - lo(at)).alias("around"), lo(at).alias("from"), F.lit(0).alias("n")))
-
-    places = base.select("doc_id", "row", F.explode(let(F.col("w"), lambda w: F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("from"), F.size(w).alias("n"))), marked(w)))).alias("p")).select("doc_id", "row", "p.*")
-    hits = _union([places.join(b, F.col("h") == F.col("mark"), "left").where((F.col("at") < 0 if i == 0 else F.lit(False)) | F.col("mark").isNotNull()) for i, b in enumerate(blocks_of(marks, "mark", block))])
-    around = F.when(F.col("at") < 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("words")))).otherwise(grams(F.col("around"), WINDOW))
-    spans = hits.select("doc_id", "row", "n", "from", F.explode(around).alias("g")).select("doc_id", "row", F.col("n").cast("long").alias("n"), (F.col("from") + F.col("g.at")).alias("at"), F.lit(WINDOW).alias("len"), F.col("g.words").alias("words"))
+    few = [r[0] for r in marks.limit(listed + 1).collect()]
+    spans = _spans_listed(base, few) if len(few) <= listed else _spans_joined(base, marks, block)
     found = _union([spans.join(b, F.col("words") == F.col("window"), "left").where((F.col("words").isNull() if i == 0 else F.lit(False)) | F.col("window").isNotNull()) for i, b in enumerate(blocks_of(windows, "window", block))])
+    found = found.withColumn("len", F.lit(WINDOW))
     found = found.select("doc_id", "row", "n", "at", "len", "items")
     for n in sorted(lengths):
-        there = base.select("doc_id", "row", F.explode(let(F.col("w"), lambda w, n=n: grams(w, n))).alias("g"))
+        there = base.select("doc_id", "row", F.explode(let(F.col("w"), _grams_of(n))).alias("g"))
         for b in blocks_of(short.where(F.col("n") == n).select("window", "items"), "window", block):
             found = found.unionByName(there.join(b, F.col("g.words") == F.col("window")).select("doc_id", "row", F.lit(0).cast("long").alias("n"), F.col("g.at").alias("at"), F.lit(n).alias("len"), "items"))
 

@@ -10,7 +10,7 @@ pairs are verified; in a large one first those with three pivots, which joins it
 every pair of classes that still have different labels and whose signatures don't rule the threshold out, each in the
 first band that the two share. So no link between different texts is lost to a group's size, and a large group of
 copies costs pairs in proportion to its size. What may be lost: a pair at the threshold shares no band with a
-probability of 2e-8, and is ruled out by its signature bits with about as little.
+probability of 2e-8, and is ruled out by its signature bits with one of 3e-7.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from .graph import components
 from .hashing import Hasher, U, chunks, mix, rolling, texts_of, tokens
 
 SHINGLE, PERCENT = 5, 85
-SLOTS, BANDS, ROWS = 128, 24, 4
-#: Four bits of each slot, in eight longs. At the threshold 38.4 of 512 bits differ on average, with a deviation of 9.2.
-SKETCH, MOST_DIFFERENT = 8, 90
+SLOTS, BANDS, ROWS = 512, 24, 4
+#: Four bits of each slot, in 32 longs. At the threshold 153.6 of 2048 bits differ on average, with a deviation of 18.4 at
+#: most; five deviations above that is where a pair is ruled out (of similarity 0.76, half are).
+SKETCH, MOST_DIFFERENT = 32, 246
 #: Buckets of at most so many classes are verified whole; from larger ones so many pivots are taken at first.
 SMALL, PIVOTS = 4, 3
 #: Partners of one class that a task verifies.
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(about.alias("l"), F.col("a") == F.col("l.rep")).join(about.alias("r"), F.col("b") == F.col("r.rep")).where(alike("l", "r")).select("a", "b")
     links = cut(verify(cut(pairs), docs))
 
-    label = components(links, rounds=2)
+    label = components(links)
     large = members.where(F.col("size") > SMALL).join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = large.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select(F.col("band").alias("bucket"))
     rest = cut(large.join(mixed, F.col("band") == F.col("bucket")).select("band", "rep", "label"))
