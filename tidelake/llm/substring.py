@@ -75,7 +75,7 @@ def _counted(buckets: int, window: int):
             held.clear()
 
         for batch in batches:
-            of, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
+            texts, of = texts_of(batch.column(1)), batch.column(2).to_numpy()
             for shard in np.unique(of):
                 for _, counts, _, h in window_hashes([texts[i] for i in np.flatnonzero(of == shard)], hasher, window):
                     held.setdefault(int(shard), []).append(h[starts(counts, window)])
@@ -199,12 +199,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False, sh
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in another row or its own. All
     copies go, the first too. A null or empty text has no words; a text of fewer words than a window keeps them all.
-    Rows that repeat a doc_id are rows of their own. A shard's texts (8 MB, or one longer text) are held by one task.
+    Rows that repeat a doc_id are rows of their own. A shard's texts (8 MB, one longer text, or a row's equals) are held by
+    one task.
     """
     total = bytes_of(docs, "text")
     shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // (6 * bucket_hashes)))
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
     placed = rows.repartition(shards, "shard")
-    counted = placed.select("shard", "text").mapInArrow(_counted(buckets, window), "bucket int, shard int, hashes binary")
+    # Both uses of ``placed`` have the same columns and nothing that isn't deterministic, so that Spark shuffles texts once.
+    counted = placed.mapInArrow(_counted(buckets, window), "bucket int, shard int, hashes binary")
     confirmed = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_confirmed, "shard int, hashes binary")
     return placed.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_removed(window, keep), RESULT + (", kept string" if keep else ""))
