@@ -159,7 +159,7 @@ def test_lines(spark, docs_of):
         assert (got[k].n_lines, got[k].n_deleted, got[k].text) == (n, deleted, kept), k
     assert linededup.line_dedup(docs_of([])).collect() == []
     twice = linededup.line_dedup(docs_of([(1, a), (1, a)])).collect()
-    assert sorted(r.n_deleted for r in twice) == [0, 4] and twice[0]["row"] == "x"
+    assert [r.n_deleted for r in twice] == [0, 0] and twice[0]["row"] == "x"  # one document
 
 
 def test_bpe_is_tiktoken(spark, docs_of):
@@ -236,7 +236,7 @@ def test_warc_text_is_what_the_format_says(spark):
     members = b"".join(gzip.compress(x if i == 0 else b"WARC/" + x) for i, x in enumerate(parts))
     assert [b for _, b in warc.parse(warc.unpacked(members, 7))] == [b for _, b in records]
     with pytest.raises(ValueError, match="cut off"):
-        list(warc.parse(iter([whole[:-30]])))
+        list(warc.parse(iter([whole[:-8]])))
     full = warc.assemble(warc.read_warc(spark, path)).first()
     assert bytes(full.response.payload) == "héllo".encode() and full.request.kind == "request"
     alone = warc.assemble(warc.read_warc(spark, path).where("kind = 'metadata'")).first()

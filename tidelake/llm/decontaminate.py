@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, lis
 
     A null text has no words and no hits. Items without words match nothing; an item with a null id counts as a hit but
     not as an item; items that repeat an id are one item with the windows of all. Rows that repeat a doc_id are judged
-    each by its own text. Empty tables on either side are fine.
+    each by its own text, and come out as often as they are there. Empty tables on either side are fine.
     """
     items = cut(benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0))
     windows = items.select("item_id", F.explode(grams(F.col("w"), WINDOW)).alias("g")).groupBy("g.words").agg(F.collect_set("item_id").alias("items"))
@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, lis
     short = cut(short)
     lengths = [r[0] for r in short.select("n").distinct().collect()]  # under WINDOW values
 
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), item_words(F.col("text")).alias("w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("row"), item_words(F.col("text")).alias("w"))
     few = [r[0] for r in marks.limit(listed + 1).collect()]
     spans = _spans_listed(base, few) if len(few) <= listed else _spans_joined(base, marks, block)
     found = _union([spans.join(b, F.col("words") == F.col("window"), "left").where((F.col("words").isNull() if i == 0 else F.lit(False)) | F.col("window").isNotNull()) for i, b in enumerate(blocks_of(windows, "window", block))])
@@ -134,11 +134,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, lis
             found = found.unionByName(there.join(b, F.col("g.words") == F.col("window")).select("doc_id", "row", F.lit(0).cast("long").alias("n"), F.col("g.at").alias("at"), F.lit(n).alias("len"), "items"))
 
     one = found.groupBy("doc_id", "row").agg(
-        F.max("n").alias("n_words"),
+        F.max("n").alias("n_words"), F.count_if(F.col("at").isNull() | (F.col("at") < 0)).alias("copies"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "len"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     add = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(s["at"], a["to"]))).alias("n"), F.greatest(a["to"], s["at"] + s["len"]).alias("to"))
     covered = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), add, lambda a: a["n"].cast("long"))
     ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    one = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies").cast("int"), F.lit(1)))))
     return one.select("doc_id", F.col("n_words"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (covered > 0).alias("contaminated"), F.col("spans").alias("hit_at"))

@@ -58,6 +58,7 @@ def own_licences(rows: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     weight = _templates(spark, templates).join(F.broadcast(df), "term", "left").withColumn("idf", idf(F.coalesce("df", F.lit(0)))).withColumn("w", F.col("tf") * F.col("idf"))
     norm = weight.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weight = cut(weight.join(F.broadcast(norm), "template").select("template", F.col("term").alias("word"), "idf", (F.col("w") / F.col("norm")).alias("w")))
+    # Copies of a text count their terms several times, all alike, which leaves cosines as they are.
     lines = rows.select("row", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))).alias("line", "words"))
     units = lines.select("row", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
     units = units.join(F.broadcast(weight.groupBy("word").agg(F.max("idf").alias("idf"))), F.col("term") == F.col("word"), "left").select("row", "line", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0)))).alias("u"))
@@ -79,7 +80,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     like a result are replaced.
     """
     drop = ["row", "own_licence", "own_score", "licence", "licence_from", "how", "directory"]
-    rows = files.drop(*drop).withColumn("row", F.monotonically_increasing_id())
+    rows = files.drop(*drop).withColumn("row", F.xxhash64("text"))  # equal texts have equal licences
     own = own_licences(rows.select("row", "text"), templates, least).select(F.col("row").alias("of"), F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
     directory = F.regexp_replace(F.regexp_extract("path", "^(.*/)?[^/]*$", 1), "/$", "")
     held = cut(rows.drop("text").withColumn("directory", directory).join(own, F.col("row") == F.col("of"), "left").drop("of"))

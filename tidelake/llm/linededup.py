@@ -32,11 +32,12 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Every row of ``docs`` with all its columns, ``text`` without the deleted lines, and n_lines, n_deleted added.
 
     Lines are split at \\n; those without a word are never counted, compared or deleted. Lines are equal if they are so
-    after trimming and with white space as single spaces. A run is earlier by (doc_id, row, line), a null id first; the
-    first stays whole unless it overlaps a later copy of its own. A null text stays null, with no lines. Rows that repeat
-    a doc_id are rows of their own. Clashing extra columns (n_lines, n_deleted) are replaced.
+    after trimming and with white space as single spaces. A run is earlier by (doc_id, hash of the text, line), a null id
+    first; the first stays whole unless it overlaps a later copy of its own. A null text stays null, with no lines. Rows
+    that repeat a doc_id with another text are documents of their own; rows that repeat both are one document, and come
+    out alike. Clashing extra columns (n_lines, n_deleted) are replaced.
     """
-    rows = docs.drop("n_lines", "n_deleted").withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.drop("n_lines", "n_deleted").withColumn("_row", F.xxhash64("doc_id", "text"))
     full = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.transform(full, lambda x: F.xxhash64(F.trim(F.regexp_replace(x, f"{WHITE}+", " "))))
     marks = cut(rows.select("doc_id", F.col("_row").alias("row"), F.explode(let(hashes, lambda h: _marks(h, run))).alias("m")).select("doc_id", "row", "m.least.mark", "m.least.back", "m.at", "m.lines"))

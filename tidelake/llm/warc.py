@@ -41,29 +41,29 @@ def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
     """Writes request, response or revisit, and metadata records for each row of ``pages`` (page_id, url, html).
 
     The payload is html in UTF-8, of a null none. Of payloads of at least 100 bytes that are equal, the one of the
-    smallest page_id is the response and the others revisit it; rows that repeat that page_id are responses too, and
-    rows without a page_id revisit it. Only digests are grouped and joined; payloads aren't shuffled unless over 200,000
+    smallest page_id is the response and the others revisit it, those without a page_id too. Rows that repeat a page_id and
+    its payload are one capture: names of records follow from both, and so are the same in every pass over the pages. Only digests are grouped and joined; payloads aren't shuffled unless over 200,000
     payloads repeat.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
-    repeated = rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("any"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("known"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    repeated = cut(repeated.where("n > 1 AND known IS NOT NULL").select(F.col("digest").alias("again"), F.col("known.page_id").alias("first_id"), F.col("known.row").alias("first_row")))
+    repeated = rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    repeated = cut(repeated.where("n > 1 AND first_id IS NOT NULL").select(F.col("digest").alias("again"), "first_id"))
     mean = rows.agg(F.avg("bytes")).first()[0] or 0
     rows = rows.join(broadcast_if_small(repeated, 200_000), (F.col("digest") == F.col("again")) & (F.col("bytes") >= LEAST_REVISIT), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    name = lambda page, row, part: F.concat_ws(":", F.lit("urn:capture"), F.coalesce(page.cast("string"), F.lit("none")), row.cast("string"), F.lit(part))
-    own = name(F.col("page_id"), F.col("row"), "main")
+    name = lambda page, part: F.concat_ws(":", F.lit("urn:capture"), F.coalesce(page.cast("string"), F.concat(F.lit("row"), F.col("row").cast("string"))), F.col("digest"), F.lit(part))
+    own = name(F.col("page_id"), "main")
     about = [_field("WARC-Target-URI", F.col("url")), _field("Page-Id", F.col("page_id").cast("string"))]
     digest = _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest"))
     beside = [F.concat(F.lit("WARC-Concurrent-To: <"), own, F.lit(">")), *about]
     http = F.lit("Content-Type: application/http; msgtype=response")
     host = F.coalesce(F.nullif(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\r\n]+)", 1), F.lit("")), F.lit("unknown"))
     parts = [
-        _record("request", name(F.col("page_id"), F.col("row"), "request"), [*beside, F.lit("Content-Type: application/http; msgtype=request")], F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), host, F.lit(END))),
-        F.when(revisit, _record("revisit", own, [*about, F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: <"), name(F.col("first_id"), F.col("first_row"), "main"), F.lit(">")), digest, http], F.lit(HTTP)))
+        _record("request", name(F.col("page_id"), "request"), [*beside, F.lit("Content-Type: application/http; msgtype=request")], F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), host, F.lit(END))),
+        F.when(revisit, _record("revisit", own, [*about, F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: <"), name(F.col("first_id"), "main"), F.lit(">")), digest, http], F.lit(HTTP)))
         .otherwise(_record("response", own, [*about, digest, http], F.concat(F.lit(HTTP), F.col("payload")))),
-        _record("metadata", name(F.col("page_id"), F.col("row"), "metadata"), [*beside, F.lit("Content-Type: application/warc-fields")], F.lit("fetchTimeMs: 0\r\n")),
+        _record("metadata", name(F.col("page_id"), "metadata"), [*beside, F.lit("Content-Type: application/warc-fields")], F.lit("fetchTimeMs: 0\r\n")),
     ]
     out = rows.select(F.concat_ws(END, *parts).alias("value"))
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(archive_bytes // (mean + 1000)))).text(path)
@@ -80,8 +80,9 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         return piece is not None
 
     while True:
-        while (at := held.find(END.encode())) < 0 and more():
-            pass
+        while (at := held.find(END.encode())) <= 0 and (at == 0 or more()):
+            if at == 0:  # more blank lines than the format asks for
+                del held[: len(END)]
         if at < 0:
             if held.strip():
                 raise ValueError("a record has no end of its header")
