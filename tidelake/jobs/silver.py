@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import add_row_metadata
+from ..operators.orders import affected_days, order_lines
 from ..operators.routing import REASON, late_status
 from ..sources.lake import Lake
 from ..sources.shared import checkpointed
@@ -77,8 +78,37 @@ class SilverJob:
         self.ledger.record("silver", job.name, self.day, covered, run)
         return run
 
+    def reference(self, name: str, source: str, keys: Sequence[str], build: Callable[[DataFrame], DataFrame]) -> LayerRun | None:
+        """Rebuilds a whole table from the newest snapshot, or returns None if there is no new one in the range."""
+        covered, path = self.ledger.range("silver", name, self.day, self.full_refresh), self.lake.path("bronze", source, name)
+        if not self.lake.has_snapshot_in(path, covered.low, covered.high):
+            return None
+        snapshot = self.lake.latest_snapshot(path, self.day)
+        made = add_row_metadata(build(snapshot), F.lit(self.day), F.lit(datetime.now(UTC).replace(tzinfo=None)))
+        rows = self.lake.merge(made, self.lake.path("silver", name), keys, [F.desc("_batch_date")], full_refresh=True)
+        run = LayerRun(rows_in=rows, rows_valid=rows, rows_written=rows, detail="rebuilt")
+        self.ledger.record("silver", name, self.day, covered, run)
+        return run
 
-def _rank(job: TableJob) -> Column:
-    from pyspark.sql import Window
+    def order_lines(self, everything: bool = False) -> LayerRun:
+        """Rebuilds the days of order_lines that this batch's orders, items or payments touch; all of them after a full
+        refresh or a change of a reference table (``everything``)."""
+        t = {n: self.lake.read(self.lake.path("silver", n)) for n in ("order_items", "orders", "order_payments", "customers", "products", "sellers")}
+        sources, today = ("orders", "order_items", "order_payments"), F.lit(self.day).cast("date")
+        covered = self.ledger.range("silver", "order_lines", self.day, self.full_refresh)
+        if not (everything or self.full_refresh):
+            days = [r[0] for r in affected_days([t[n].where(F.col("_batch_date") == today) for n in sources]).collect()]
+            for n in sources:  # a literal list, which prunes partitions
+                t[n] = t[n].where(F.col("order_purchase_date").isin(days)) if days else t[n].limit(0)
+        lines = checkpointed(order_lines(*t.values()))
+        rows, written = lines.count(), 0
+        if rows:
+            made = add_row_metadata(lines, today, F.lit(datetime.now(UTC).replace(tzinfo=None)))
+            written = self.lake.merge(made, self.lake.path("silver", "order_lines"), ["order_id", "order_item_id"], [F.desc("_batch_date")], "order_purchase_date", everything or self.full_refresh, union_existing=False)
+        run = LayerRun(rows_in=rows, rows_valid=rows, rows_written=written)
+        self.ledger.record("silver", "order_lines", self.day, covered, run)
+        return run
 
+
+def _rank(job: TableJob) -> Column:
     return F.row_number().over(Window.partitionBy(*job.keys).orderBy(*job.order, F.desc("_bronze_ingest_date")))
