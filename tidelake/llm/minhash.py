@@ -5,10 +5,10 @@ fraction to the j-th slot of its permutation, so the slots of one element are sp
 than independent hashes. Steps go on only until every slot of a document is filled; here all elements of many documents
 take a step at once.
 
-Documents with equal sets are one class from then on. Classes that share a band are candidates. In small buckets all
-pairs are verified; in a large one first those with three pivots, which joins its copies to a few components, and then
-every pair of classes that still have different labels and whose signatures don't rule the threshold out, each in the
-first band that the two share. So no link between different texts is lost to a group's size, and a large group of
+Documents with equal sets are one class from then on. Classes that share a band are candidates. In each bucket
+first the pairs with one pivot are verified, which joins most copies to a few components, and then every pair of classes
+that still have different labels and whose signatures don't rule the threshold out, each in the first band that the two
+share. So no link between different texts is lost to a group's size, and a large group of
 copies costs pairs in proportion to its size. What may be lost: a pair at the threshold shares no band with a
 probability of 2e-8, and is ruled out by its signature bits with one of 3e-7.
 """
@@ -31,8 +31,8 @@ SLOTS, BANDS, ROWS = 512, 24, 4
 #: Four bits of each slot, in 32 longs. At the threshold 153.6 of 2048 bits differ on average, with a deviation of 18.4 at
 #: most; five deviations above that is where a pair is ruled out (of similarity 0.76, half are).
 SKETCH, MOST_DIFFERENT = 32, 246
-#: Buckets of at most so many classes are verified whole; from larger ones so many pivots are taken at first.
-SMALL, PIVOTS = 4, 3
+#: Bytes of text whose signatures are made at once; the permutations of their shingles take some 90 MB.
+CHUNK = 1 << 19
 #: Partners of one class that a task verifies.
 PARTNERS = 64
 NODE = "doc_id long, n long, set_a long, set_b long, bands array<long>, sketch array<long>"
@@ -106,7 +106,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
     for batch in batches:
         texts = texts_of(batch.column(1))
-        for i, j in chunks(texts):
+        for i, j in chunks(texts, CHUNK):
             sets = list(shingle_sets(texts[i:j], hasher))
             sig = signatures(sets)
             sums = [np.array([mix(s ^ U(c)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in (0x51ED, 0xC0FFEE)]
@@ -144,6 +144,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     about PARTNERS pairs of one class; a class with more partners is dealt to several groups."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select(F.col("a").alias("hub"), F.ceil(F.col("n") / PARTNERS).cast("int").alias("groups"))
     dealt = pairs.join(many, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("salt"))
+    dealt = cut(dealt)
     uses = dealt.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("id")))
     uses = broadcast_if_small(cut(uses), 200_000)
     texts = docs.select("doc_id", "text").join(uses, F.col("doc_id") == F.col("id")).select("a", "salt", "side", "id", "text")
@@ -169,17 +170,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes.select("n", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("band", "bucket")
-    members = cut(banded.join(shared, F.col("band") == F.col("bucket")).select("band", "rep", "size"))
-    chance = F.pmod(F.xxhash64("band", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pivots = members.where((F.col("size") <= SMALL) | (chance < F.lit(PIVOTS) / F.col("size"))).select(F.col("band").alias("bucket"), F.col("rep").alias("pivot"))
-    pairs = members.join(pivots, (F.col("band") == F.col("bucket")) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    order = F.struct(F.xxhash64("rep").alias("h"), "rep")  # one class is the pivot of most of its buckets
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("p")).where("size > 1").select(F.col("band").alias("bucket"), "size", F.col("p.rep").alias("pivot"))
+    members = cut(banded.join(shared, F.col("band") == F.col("bucket")).select("band", "rep", "size", "pivot"))
+    pairs = members.where(F.col("rep") != F.col("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     about = classes.select("rep", "n", "sketch")
     pairs = pairs.join(about.alias("l"), F.col("a") == F.col("l.rep")).join(about.alias("r"), F.col("b") == F.col("r.rep")).where(alike("l", "r")).select("a", "b")
     links = cut(verify(cut(pairs), docs))
 
     label = components(links)
-    large = members.where(F.col("size") > SMALL).join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
+    large = members.where(F.col("size") > 2).join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = large.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select(F.col("band").alias("bucket"))
     rest = cut(large.join(mixed, F.col("band") == F.col("bucket")).select("band", "rep", "label"))
     if not rest.isEmpty():
