@@ -47,7 +47,7 @@ def own_licences(rows: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     """(row, licence, score) for each row of ``rows`` (row, text) with a line that is near enough to a template.
 
     idf = 1 + ln((1 + texts) / (1 + texts that hold the term)); a term that no template has weighs as one that no text
-    holds. Equal scores go to the first name. The templates and their terms are broadcast: their number is fixed.
+    holds. Scores are rounded to nine places; equal ones go to the first name. The templates and their terms are broadcast: their number is fixed.
     """
     spark = rows.sparkSession
     vocabulary = sorted({t for text in templates.values() for t in "".join(c if c.isalnum() else " " for c in text.lower()).split()})
@@ -65,7 +65,7 @@ def own_licences(rows: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     units = cut(units)
     length = units.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("length"))
     dots = units.join(F.broadcast(weight), F.col("term") == F.col("word")).groupBy("row", "line", "template").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
-    scored = dots.join(length, ["row", "line"]).select("row", "template", (F.col("dot") / F.col("length")).alias("score")).where(F.col("score") >= least)
+    scored = dots.join(length, ["row", "line"]).select("row", "template", F.round(F.col("dot") / F.col("length"), 9).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("less"), "template")).alias("x"))
     return best.select("row", F.col("x.template").alias("licence"), (-F.col("x.less")).alias("score"))
 

@@ -65,7 +65,24 @@ QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_language_i
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op2_license_scan": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS dir, CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || '.txt' END AS name, text FROM documents),
+t AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all({_LOW.format('about')}, '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES}) AS v(template, about)) GROUP BY ALL),
+c AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+'))) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY term),
+i AS (SELECT DISTINCT term, 1 + ln((1.0::double + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) AS idf FROM t LEFT JOIN c USING (term)),
+w AS (SELECT template, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM t JOIN i USING (term)),
+l AS (SELECT doc_id, k, lines[k] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL)) WHERE regexp_matches(lines[k], '{licenses.CUE}')),
+u AS (SELECT doc_id, k, term, count(*) * coalesce(any_value(idf), 1 + ln(1.0::double + (SELECT count(*) FROM d))) AS u FROM (SELECT doc_id, k, unnest(regexp_extract_all({_LOW.format('line')}, '[a-z0-9]+')) AS term FROM l) LEFT JOIN i USING (term) GROUP BY doc_id, k, term),
+n AS (SELECT doc_id, k, sqrt(sum(u * u)) AS length FROM u GROUP BY doc_id, k),
+s AS (SELECT doc_id, template, round(sum(u * w / norm) / any_value(length), 9) AS score FROM u JOIN w USING (term) JOIN n USING (doc_id, k) GROUP BY doc_id, k, template),
+o AS (SELECT doc_id, template AS own, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn FROM s WHERE score >= {licenses.LEAST}) WHERE rn = 1),
+g AS (SELECT dir, own AS given FROM (SELECT dir, own, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own) AS rn FROM d JOIN o USING (doc_id) WHERE name = 'LICENSE') WHERE rn = 1)
+SELECT doc_id, dir || '/' || name AS path, own AS own_licence, coalesce(own, given) AS licence, CASE WHEN own IS NULL AND given IS NOT NULL THEN dir END AS licence_from, CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN g USING (dir)""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 7)) AS pos, w FROM d WHERE len(w) > 8),
