@@ -7,107 +7,118 @@ profile; an n-gram that the profile lacks costs the profile's length. The neares
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters in a row; digits, marks and signs separate words.
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Length of a language's profile, and how many n-grams of a text are compared with it.
 PROFILE, COMPARED = 400, 300
-#: n-grams that a training task counts before it passes its counts on, and words that a worker remembers.
-HELD, REMEMBERED = 500_000, 200_000
+#: n-grams that a training task holds before it sums them up, and summed ones before it passes them on.
+HELD = 2_000_000
 UNKNOWN = "und"
+#: Stands for what separates words in n-grams; no letter has this number.
+GAP = 1
 
 
-class Grams:
-    """Counts n-grams of texts; the n-grams of a word are remembered."""
-
-    def __init__(self):
-        self.of: dict[str, tuple[str, ...]] = {}
-
-    def word(self, w: str) -> tuple[str, ...]:
-        found = self.of.get(w)
-        if found is None:
-            s = f" {w} "
-            found = tuple(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n] != " ")
-            if len(w) <= 40:
-                if len(self.of) >= REMEMBERED:
-                    self.of.clear()
-                self.of[w] = found
-        return found
-
-    def count(self, text: str) -> Counter:
-        """A counter of the whole text."""
-        out: Counter = Counter()
-        many: list[str] = []
-        for w, n in Counter(LETTERS.findall(text.lower())).items():
-            if n == 1:
-                many.extend(self.word(w))
-            else:
-                for g in self.word(w):
-                    out[g] += n
-        out.update(many)
-        return out
-
-
-def ranked(counts: Counter, most: int) -> list[str]:
-    """By falling count, equal counts by the n-gram."""
-    if len(counts) > most:
-        least = sorted(counts.values(), reverse=True)[most - 1]
-        return sorted((g for g, n in counts.items() if n >= least), key=lambda g: (-counts[g], g))[:most]
-    return sorted(counts, key=lambda g: (-counts[g], g))
-
-
-def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, dict[str, int]]:
-    """{language: {n-gram: rank}} from all rows with text and lang. Counts are summed in each task before the shuffle;
-    only the profiles (languages x ``profile`` n-grams) come to the driver. Languages without a letter get no profile."""
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams of the whole text as numbers, 21 bits a character; as often as they are there."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    known = _letters()
+    letter = known[np.minimum(points, len(known) - 1)] & (points < len(known))
+    if not letter.any():
+        return np.zeros(0, np.int64)
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # one gap after each word
+    a = np.concatenate([[GAP], np.where(letter, points, GAP)[kept], [GAP]])
+    if not letter[-1]:
+        a = a[:-1]
+    two = a[:-1] << 21 | a[1:]
+    three = (two[:-1] << 21 | a[2:])[a[1:-1] != GAP]
+    return np.concatenate([a[a != GAP], two, three])
+
+
+def ranked(text: str, most: int) -> np.ndarray:
+    """The text's most frequent n-grams by falling count, equal counts by their numbers."""
+    found, times = np.unique(grams(text), return_counts=True)
+    return found[np.argsort(-times, kind="stable")[:most]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held = Grams(), {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+Profiles = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def learn(docs: DataFrame, profile: int = PROFILE) -> Profiles:
+    """{language: (sorted n-grams, the rank of each)} from all rows with text and lang. Counts are summed in each task
+    before the shuffle; only the profiles (languages x ``profile`` n-grams) come to the driver. Languages without a letter
+    get no profile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        summed: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        n = 0
+
+        def add_up() -> None:
+            for lang, parts in held.items():
+                found, times = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in summed:
+                    both = np.concatenate([summed[lang][0], found])
+                    found, at = np.unique(both, return_inverse=True)
+                    times = np.bincount(at, np.concatenate([summed[lang][1], times])).astype(np.int64)
+                summed[lang] = found, times
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            add_up()
+            for lang, (found, times) in summed.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["lang", "gram", "n"])
+            summed.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                held.setdefault(lang.as_py(), Counter()).update(grams.count(text.as_py()))
-                if sum(map(len, held.values())) > HELD:
-                    yield out()
-        if any(held.values()):
-            yield out()
-
-    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = grams(text.as_py())
+                held.setdefault(lang, []).append(found)
+                n += len(found)
+                if n > HELD:
+                    add_up()
+                    n = 0
+                    if sum(len(f) for f, _ in summed.values()) > HELD:
+                        yield from out()
+        yield from out()
+
+    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= profile)
-    found: dict[str, dict[str, int]] = {}
+    found: dict[str, list[tuple[int, int]]] = {}
     for lang, gram, rank in best.select("lang", "gram", "rank").collect():
-        found.setdefault(lang, {})[gram] = rank - 1
-    return dict(sorted(found.items()))
+        found.setdefault(lang, []).append((gram, rank - 1))
+    return {lang: tuple(np.array(sorted(rows), np.int64).T) for lang, rows in sorted(found.items())}
 
 
-def nearest(counts: Counter, profiles: dict[str, dict[str, int]], compared: int = COMPARED, profile: int = PROFILE) -> tuple[str, float]:
+def nearest(text: str, profiles: Profiles, compared: int = COMPARED, profile: int = PROFILE) -> tuple[str, float]:
     """(language, score). The score is one less the distance over the greatest possible one: 0 if the text shares no
     n-gram with the profile. Equal distances go to the first name; without letters or profiles it is (und, 0)."""
-    own = ranked(counts, compared)
-    if not own or not profiles:
+    own = ranked(text, compared)
+    if not len(own) or not profiles:
         return UNKNOWN, 0.0
-    best, least = UNKNOWN, None
-    for lang, ranks in profiles.items():
-        get = ranks.get
-        far = sum(profile if (r := get(g)) is None else abs(r - i) for i, g in enumerate(own))
+    best, least, place = UNKNOWN, None, np.arange(len(own))
+    for lang, (known, ranks) in profiles.items():
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        far = int(np.where(known[at] == own, np.abs(ranks[at] - place), profile).sum())
         if least is None or far < least:
             best, least = lang, far
     return best, max(0.0, 1.0 - least / (profile * len(own)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], keep: list[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, profiles: Profiles, keep: list[str] = ()) -> DataFrame:
     """Every row of ``docs`` with lang_pred and score added: doc_id, lang_pred, score and the ``keep`` columns.
 
     Only the text is looked at, all of it. A null text, or one without a letter, is ``und`` with score 0.
@@ -116,9 +127,8 @@ def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], keep: list[st
     schema = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
         for batch in batches:
-            found = [nearest(grams.count(x.as_py() or ""), profiles) for x in batch.column(len(names))]
+            found = [nearest(x.as_py() or "", profiles) for x in batch.column(len(names))]
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 
