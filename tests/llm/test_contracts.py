@@ -162,6 +162,30 @@ def test_lines(spark, docs_of):
     assert [r.n_deleted for r in twice] == [0, 0] and twice[0]["row"] == "x"  # one document
 
 
+def test_passages_of_one_and_two_lines(spark, docs_of):
+    line = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    long, half, few, rest = line(51, "a"), line(30, "b"), line(21, "c"), line(50, "d")
+    rows = [(1, f"{long}\nown 1"), (2, f"own 2\n\n {long}"), (3, f"{half}\n{few}"), (4, f"{half}\n \n{few}\nown 4"), (5, f"{rest}\nown 5"), (6, f"{rest}\nown 6"), (7, f"{long}\n{few}"), (8, f"{long}\n{few}"), (9, None)]
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in linededup.line_dedup(docs_of(rows), words=50).collect()}
+    assert got == {
+        1: (2, 0, rows[0][1]), 2: (2, 1, "own 2\n"), 3: (2, 0, rows[2][1]), 4: (3, 2, " \nown 4"), 5: (2, 0, rows[4][1]), 6: (2, 0, rows[5][1]),
+        7: (2, 1, few), 8: (2, 2, ""), 9: (0, 0, None),
+    }
+    assert all(r.n_deleted == 0 for r in linededup.line_dedup(docs_of(rows)).collect())  # three lines at least
+
+
+def test_passages_query_is_its_sql(spark):
+    import duckdb
+
+    from tidelake.llm import queries
+
+    src, name = "/root/testdata/sf0.01", "op7_line_dedup_passages"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{src}/documents.parquet'")
+    got = {tuple(r) for r in queries.QUERIES[name](spark, src).collect()}
+    assert got == set(duckdb.sql(queries.ORACLES[name]).fetchall())
+    assert sum(r[2] for r in got) > sum(r.n_deleted for r in queries.op7_line_dedup(spark, src).collect())
+
+
 def test_bpe_is_tiktoken(spark, docs_of):
     import public_tokenizers
     import tiktoken

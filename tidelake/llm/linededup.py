@@ -3,7 +3,8 @@
 Of each ``run`` consecutive lines the one with the smallest hash (the rightmost of equals) is a fingerprint, so that
 equal runs of that many lines hold an equal fingerprint at the same place. Fingerprints found once are dropped; those
 found again are extended both ways to the runs of lines that they stand for, and every line that lies in a run which is
-not the first of its kind is deleted. Longer repeats are chains of such runs.
+not the first of its kind is deleted. Longer repeats are chains of such runs. Where ``words`` is given, shorter runs of
+more than so many words count as well, so that every repeat of whole lines with more than so many words is found.
 """
 
 from __future__ import annotations
@@ -14,41 +15,52 @@ from pyspark.sql import functions as F
 from .common import WHITE, broadcast_if_small, cut, let
 
 RUN = 3
+#: Where passages are measured in words, a run of fewer lines has to have more words than this.
+WORDS = 50
 
 
-def _marks(h: Column, run: int) -> Column:
-    """For each run of lines its start, its fingerprint with its place, and the hash of all its lines."""
-    placed = F.transform(h, lambda x, i: F.struct(x.alias("mark"), (-i).alias("back")))
+def _marks(x: Column, run: int, words: int | None) -> Column:
+    """For each run of lines (h, n: hash and words) its start, its length, its fingerprint with its place, and the hash
+    of all its lines."""
+    placed = F.transform(x, lambda l, i: F.struct(l["h"].alias("mark"), (-i).alias("back")))
+    none = F.array().cast("array<struct<least:struct<mark:bigint,back:int>,at:int,size:int,lines:bigint>>")
 
-    def of(p: Column) -> Column:
-        one = lambda i: F.struct(F.array_min(F.slice(p, i + 1, run)).alias("least"), i.alias("at"), F.xxhash64(F.slice(h, i + 1, run)).alias("lines"))
-        return F.transform(F.sequence(F.lit(0), F.size(h) - run), one)
+    def of(p: Column, size: int) -> Column:
+        part = lambda i: F.slice(x, i + 1, size)
+        one = lambda i: F.struct(F.array_min(F.slice(p, i + 1, size)).alias("least"), i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.transform(part(i), lambda l: l["h"])).alias("lines"))
+        starts = F.sequence(F.lit(0), F.size(x) - size)
+        if size < run:
+            starts = F.filter(starts, lambda i: F.aggregate(part(i), F.lit(0), lambda n, l: n + l["n"]) > words)
+        return F.when(F.size(x) < size, none).otherwise(F.transform(starts, one))
 
-    none = F.array().cast("array<struct<least:struct<mark:bigint,back:int>,at:int,lines:bigint>>")
-    return F.when(F.size(h) < run, none).otherwise(let(placed, of))
+    sizes = [run] if words is None else range(1, run + 1)
+    return let(placed, lambda p: F.concat(*[of(p, k) for k in sizes]))
 
 
-def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with all its columns, ``text`` without the deleted lines, and n_lines, n_deleted added.
 
     Lines are split at \\n; those without a word are never counted, compared or deleted. Lines are equal if they are so
     after trimming and with white space as single spaces. A run is earlier by (doc_id, hash of the text, line), a null id
-    first; the first stays whole unless it overlaps a later copy of its own. A null text stays null, with no lines. Rows
+    first; the first stays whole unless it overlaps a later copy of its own. With ``words``, fewer than ``run`` lines are
+    a run too if they have more words than that. A null text stays null, with no lines. Rows
     that repeat a doc_id with another text are documents of their own; rows that repeat both are one document, and come
     out alike. Clashing extra columns (n_lines, n_deleted) are replaced.
     """
     rows = docs.drop("n_lines", "n_deleted").withColumn("_row", F.xxhash64("doc_id", "text"))
     full = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashes = F.transform(full, lambda x: F.xxhash64(F.trim(F.regexp_replace(x, f"{WHITE}+", " "))))
-    marks = cut(rows.select("doc_id", F.col("_row").alias("row"), F.explode(let(hashes, lambda h: _marks(h, run))).alias("m")).select("doc_id", "row", "m.least.mark", "m.least.back", "m.at", "m.lines"))
+    plain = F.transform(full, lambda x: F.trim(F.regexp_replace(x, f"{WHITE}+", " ")))
+    count = (lambda x: F.size(F.split(x, " "))) if words is not None else lambda x: F.lit(0)
+    lines = F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), count(x).alias("n")))
+    marks = cut(rows.select("doc_id", F.col("_row").alias("row"), F.explode(let(lines, lambda x: _marks(x, run, words))).alias("m")).select("doc_id", "row", "m.least.mark", "m.least.back", "m.at", "m.size", "m.lines"))
     # A fingerprint at one place only can't be of a repeated run.
     place = F.struct("row", "back")
     again = marks.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(F.col("mark").alias("seen"))
-    runs = marks.join(again, F.col("mark") == F.col("seen")).select("lines", F.struct("doc_id", "row", "at").alias("place"))
-    first = runs.groupBy("lines").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("lines").alias("same"), "first")
-    later = runs.join(first, F.col("lines") == F.col("same")).where(F.col("place") != F.col("first"))
-    gone = later.groupBy(F.col("place.row").alias("_of")).agg(F.collect_set("place.at").alias("_at"))
-    gone = cut(gone.select("_of", F.array_distinct(F.flatten(F.transform("_at", lambda a: F.sequence(a, a + run - 1)))).alias("_gone")))
+    runs = marks.join(again, F.col("mark") == F.col("seen")).select("lines", "size", F.struct("doc_id", "row", "at").alias("place"))
+    first = runs.groupBy("lines", "size").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("lines").alias("same"), F.col("size").alias("long"), "first")
+    later = runs.join(first, (F.col("lines") == F.col("same")) & (F.col("size") == F.col("long"))).where(F.col("place") != F.col("first"))
+    gone = later.groupBy(F.col("place.row").alias("_of")).agg(F.collect_set(F.struct("place.at", "size")).alias("_at"))
+    gone = cut(gone.select("_of", F.array_distinct(F.flatten(F.transform("_at", lambda a: F.sequence(a["at"], a["at"] + a["size"] - 1)))).alias("_gone")))
     out = rows.join(broadcast_if_small(gone, 50_000), F.col("_row") == F.col("_of"), "left")
     return _without(out)
 

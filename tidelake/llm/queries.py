@@ -44,6 +44,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_line_dedup, with lines and pairs of lines of over 50 words as runs too."""
+    out = linededup.line_dedup(table(spark, sf_dir, "documents"), words=linededup.WORDS)
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """``ranks``: the path of a rank file; by default the public 50k vocabulary."""
     import public_tokenizers
@@ -60,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op7_line_dedup_passages, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -126,5 +132,19 @@ g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM q WHER
 y AS (SELECT s.doc_id, s.i FROM s JOIN g USING (doc_id, pos)),
 k AS (SELECT f.doc_id, string_agg(line, chr(10) ORDER BY f.i) AS kept FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i WHERE y.i IS NULL GROUP BY f.doc_id),
 c AS (SELECT f.doc_id, count(*) FILTER (WHERE solid) AS n_lines, count(y.i) AS n_deleted FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i GROUP BY f.doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_deleted, 0)::bigint AS n_deleted, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op7_line_dedup_passages": rf"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid FROM l),
+s AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM f WHERE solid),
+b AS (SELECT *, len(string_split(h, ' ')) AS n, lead(h) OVER o AS h1, lead(h, 2) OVER o AS h2, lead(len(string_split(h, ' '))) OVER o AS n1 FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+w AS (SELECT doc_id, pos, 3 AS size, h || chr(10) || h1 || chr(10) || h2 AS k FROM b WHERE h2 IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 2, h || chr(10) || h1 FROM b WHERE n + n1 > {linededup.WORDS}
+  UNION ALL SELECT doc_id, pos, 1, h FROM b WHERE n > {linededup.WORDS}),
+q AS (SELECT doc_id, pos, size, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, pos) AS n FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + size - 1)) AS pos FROM q WHERE n > 1),
+y AS (SELECT s.doc_id, s.i FROM s JOIN g USING (doc_id, pos)),
+k AS (SELECT f.doc_id, string_agg(line, chr(10) ORDER BY f.i) AS kept FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i WHERE y.i IS NULL GROUP BY f.doc_id),
+c AS (SELECT f.doc_id, count(*) FILTER (WHERE solid) AS n_lines, count(y.i) AS n_deleted FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i GROUP BY f.doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_deleted, 0)::bigint AS n_deleted, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
