@@ -279,6 +279,27 @@ def test_licences(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(files.limit(0)).collect() == []
 
 
+def test_whole_licences(spark):
+    held = {(k, i): t for i, (k, t, _) in enumerate(licenses.whole_templates())}
+    by = {}
+    for (k, _), t in held.items():
+        by.setdefault(k, []).append(t)  # the full text first, or the header
+    header = {k: next(t for t in by[k] if 30 < len(t.split()) < 250) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")}
+    commented = lambda t: "#!/bin/sh\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n" + prose(300, 3)
+    want = [(k, commented(t)) for k, t in header.items()]
+    want += [(k, max(by[k], key=len)) for k in by if max(map(len, by[k])) > 500]
+    want += [(k, "Copyright 2020 The Owner. All rights reserved.\n\n" + max(by[k], key=len) + "\n" + prose(200, 4)) for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]
+    want += [("MIT", "/* SPDX-License-Identifier: MIT */\nint x;"), (None, "// SPDX-License-Identifier: Other-1.0\nint x;"), (None, "the seats are reserved for us"), (None, prose(500, 5)), (None, None), (None, "")]
+    want += [("MIT", prose(150, 6).replace("\n", " ") + " It was Released under the MIT License. " + prose(150, 7).replace("\n", " ")), ("Proprietary", "x y\nAll rights reserved.\nz")]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)] + [(1000 + i, prose(60, 100 + i)) for i in range(300)], "row long, text string")
+    got = {r.row: r.licence for r in licenses.whole_licences(rows).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(want) if k}
+    files = spark.createDataFrame([("a/LICENSE", max(by["MIT"], key=len)), ("a/b/f.txt", "prose")], "path string, text string")
+    assert {(r.path, r.licence, r.how) for r in licenses.scan(files, whole=True).collect()} == {("a/LICENSE", "MIT", "own"), ("a/b/f.txt", "MIT", "inherited")}
+    assert licenses.scan(files.limit(0), whole=True).collect() == []
+    assert {r.how for r in licenses.scan(files).collect()} == {"none"}  # lines with a cue alone
+
+
 def test_sharding(spark, docs_of):
     rows = [(i if i % 50 else None, prose(20, i)) for i in range(400)]
     docs = docs_of(rows).withColumn("_arrival", F.lit("clash")).repartition(6)

@@ -3,10 +3,18 @@
 Lines with a licence cue, anywhere in a text, are compared with templates by the cosine of their sparse TF-IDF vectors;
 document frequencies are counted over all texts. The best line names a file's own licence. A file without one inherits
 from the licence file in the nearest directory at or above its own, found by joining directory paths.
+
+``whole_licences`` compares all of a text instead, without cues: windows over its words, each as long as a template, with
+full licence texts, standard headers, one-sentence notices and SPDX tags.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,18 +78,93 @@ def own_licences(rows: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     return best.select("row", F.col("x.template").alias("licence"), (-F.col("x.less")).alias("score"))
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+#: Where whole texts are compared, a window below this cosine is no licence; a tag has to be there word for word.
+LEAST_WINDOW, LEAST_TAG = 0.7, 0.999
+#: What stands beside other licences as well, and names one only where nothing else does.
+LAST = "Proprietary"
+TAGS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+Whole = list[tuple[str, str, float]]
+
+
+def whole_templates() -> Whole:
+    """(licence, text, least): full texts and standard headers in licence_texts, TEMPLATES, and SPDX tags."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+    out = []
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".txt"):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                out.append((name.rsplit(".", 2)[0], f.read(), LEAST_WINDOW))
+    out += [(k, v, LEAST_WINDOW) for k, v in TEMPLATES.items()]
+    return out + [(k, f"SPDX-License-Identifier: {k}", LEAST_TAG) for k in TAGS]
+
+
+def whole_licences(rows: DataFrame, templates: Whole | None = None) -> DataFrame:
+    """(row, licence, score) for each row of ``rows`` (row, text) with a window that is near enough to a template.
+
+    Windows have as many words as the template, start at every eighth of it and at the end of the text; a shorter text
+    is one window. idf and rounding as in ``own_licences``. Windows without any of a template's heavy terms are ruled
+    out first, which loses nothing: the rest of its terms, the frequent ones, have a norm below the least cosine. The
+    highest score counts, then the longer template, then the first name; LAST comes after all others.
+    """
+    spark = rows.sparkSession
+    templates = whole_templates() if templates is None else templates
+    count = [Counter(re.findall("[a-z0-9]+", lower(text))) for _, text, _ in templates]
+    vocabulary = sorted(set().union(*count))
+    held = F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
+    # One row for each term of the templates at most.
+    df = {r.term: r.df for r in rows.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
+    texts = rows.count()
+    idf = {t: 1 + math.log((1 + texts) / (1 + df.get(t, 0))) for t in vocabulary}
+    new = 1 + math.log(1 + texts)
+    about, weights = [], []
+    for i, ((licence, _, least), tf) in enumerate(zip(templates, count, strict=True)):
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+        w = {t: n * idf[t] / norm for t, n in tf.items()}
+        heavy, rest = [], 1.0
+        for t in sorted(w, key=lambda t: (df.get(t, 0), -w[t], t)):
+            if rest < (least - 1e-6) ** 2:
+                break
+            heavy.append(t)
+            rest -= w[t] ** 2
+        about.append((i, licence, sum(tf.values()), least, heavy))
+        weights += [(i, t, x) for t, x in w.items()]
+    anywhere = sorted(set().union(*(a[4] for a in about)))
+    about = spark.createDataFrame(about, "template int, licence string, size int, least double, heavy array<string>")
+    weights = spark.createDataFrame(weights, "template int, term string, w double")
+    idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
+
+    found = rows.where(F.arrays_overlap(terms(F.col("text")), F.array(*map(F.lit, anywhere)))).dropDuplicates(["row"])
+    found = cut(found.select("row", terms(F.col("text")).alias("words")))
+    pairs = found.join(F.broadcast(about), F.arrays_overlap("words", "heavy"))
+    end = F.greatest(F.size("words") - F.col("size"), F.lit(0))
+    starts = F.array_union(F.sequence(F.lit(0), end, F.greatest(F.floor(F.col("size") / 8).cast("int"), F.lit(1))), F.array(end))
+    windows = pairs.select("row", "template", "size", "heavy", "words", F.explode(starts).alias("at")).withColumn("words", F.slice("words", F.col("at") + 1, F.col("size"))).where(F.arrays_overlap("words", "heavy"))
+    units = windows.select("row", "template", "at", F.explode("words").alias("term")).groupBy("row", "template", "at", "term").agg(F.count("*").alias("tf"))
+    units = units.join(F.broadcast(idfs), "term", "left").join(F.broadcast(weights), ["template", "term"], "left")
+    u = F.col("tf") * F.coalesce("idf", F.lit(new))
+    cosine = F.coalesce(F.sum(u * F.col("w")), F.lit(0.0)) / F.sqrt(F.sum(u * u))
+    scored = units.groupBy("row", "template", "at").agg(F.round(cosine, 9).alias("score")).join(F.broadcast(about.drop("heavy")), "template").where(F.col("score") >= F.col("least"))
+    best = scored.groupBy("row").agg(F.min(F.struct((F.col("licence") == LAST).alias("last"), (-F.col("score")).alias("less"), (-F.col("size")).alias("shorter"), "licence")).alias("x"))
+    return best.select("row", F.col("x.licence").alias("licence"), (-F.col("x.less")).alias("score"))
+
+
+def lower(text: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, whole: bool = False) -> DataFrame:
     """One row per row of ``files`` (path, text; other columns are kept, but for text): own_licence, own_score,
     licence, licence_from (the directory that it comes from, '' the root; null for its own) and how: ``own``,
     ``inherited`` or ``none``.
 
     A null or empty text has no licence of its own; a null path inherits nothing. Of several licence files in one
     directory the best score counts, then the first name. Repeated paths are files of their own. Extra columns named
-    like a result are replaced.
+    like a result are replaced. ``whole``: whole texts are compared with ``whole_templates``, not lines with ``templates``.
     """
     drop = ["row", "own_licence", "own_score", "licence", "licence_from", "how", "directory"]
     rows = files.drop(*drop).withColumn("row", F.xxhash64("text"))  # equal texts have equal licences
-    own = own_licences(rows.select("row", "text"), templates, least).select(F.col("row").alias("of"), F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
+    texts = rows.select("row", "text")
+    own = (whole_licences(texts) if whole else own_licences(texts, templates, least)).select(F.col("row").alias("of"), F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
     directory = F.regexp_replace(F.regexp_extract("path", "^(.*/)?[^/]*$", 1), "/$", "")
     held = cut(rows.drop("text").withColumn("directory", directory).join(own, F.col("row") == F.col("of"), "left").drop("of"))
 

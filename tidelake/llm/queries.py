@@ -14,11 +14,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_as_files(spark, sf_dir)).drop("own_score")
+
+
+def op2_license_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_license_scan, with whole texts compared with full licence texts and headers."""
+    return licenses.scan(_as_files(spark, sf_dir), whole=True).drop("own_score")
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: source/thousand/hundred/name, every 25th named LICENSE."""
     at = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     name = F.when(F.col("doc_id") % 25 == 0, "LICENSE").otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), at(1000), at(100), name).alias("path"), "text")
-    return licenses.scan(files).drop("own_score")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), at(1000), at(100), name).alias("path"), "text")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op7_line_dedup_passages, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op2_license_scan_whole, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op7_line_dedup_passages, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
