@@ -297,6 +297,13 @@ def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
     return verify.multiset_difference(o.where(k % 3 == 0).select("o_orderpriority"), o.where(k % 3 == 1).select("o_orderpriority"))
 
 
+@query("SELECT day, sum(x)::bigint AS surplus FROM (SELECT o_orderdate::date AS day, 1 AS x FROM orders UNION ALL SELECT l_shipdate::date, -1 FROM lineitem) GROUP BY 1 HAVING sum(x) <> 0")
+def multiset_difference_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Days of all orders against days of all order lines."""
+    day = lambda t, c: table(spark, d, t).select(F.to_date(c).alias("day"))
+    return verify.multiset_difference(day("orders", "o_orderdate"), day("lineitem", "l_shipdate"))
+
+
 @query("SELECT o_orderstatus, o_orderpriority FROM (SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority) AS n FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority) FROM orders WHERE o_orderkey % 2 = 1)")
 def except_all(spark: SparkSession, d: str) -> DataFrame:
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
@@ -341,6 +348,13 @@ def affected_days(spark: SparkSession, d: str) -> DataFrame:
     return orders.affected_days([o, table(spark, d, "lineitem").where(F.col("l_orderkey") % 89 == 0).select(F.to_date("l_shipdate").alias("day"))], "day")
 
 
+@query("SELECT DISTINCT day FROM (SELECT o_orderdate::date AS day FROM orders UNION ALL SELECT l_shipdate::date FROM lineitem) WHERE day IS NOT NULL")
+def affected_days_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of both tables as changed, as in a first load."""
+    day = lambda t, c: table(spark, d, t).select(F.to_date(c).alias("day"))
+    return orders.affected_days([day("orders", "o_orderdate"), day("lineitem", "l_shipdate")], "day")
+
+
 @query(f"WITH {CHANGES} SELECT change_id, customer_id, t0::date AS day FROM chg")
 def change_requests(spark: SparkSession, d: str) -> DataFrame:
     return roles.changes(spark, d).select("change_id", F.col("customer_unique_id").alias("customer_id"), F.to_date("requested_at").alias("day"))
