@@ -55,7 +55,9 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     before, n = _state(edges), 0
     while before[0] and (rounds is None or n < rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
+        # The least nodes are kept first, so that both sides of the join are shuffled for it alone and adaptive execution can
+        # split a node with very many links. Later in the round, links lead from larger nodes, which have few.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")))
         # large star: larger neighbours go to the least node known here
         large = both.join(least, F.col("u") == F.col("node")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), "m")

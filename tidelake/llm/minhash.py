@@ -5,12 +5,18 @@ fraction to the j-th slot of its permutation, so the slots of one element are sp
 than independent hashes. Steps go on only until every slot of a document is filled; here all elements of many documents
 take a step at once.
 
-Documents with equal sets are one class from then on. Classes that share a band are candidates. In each bucket
-first the pairs with one pivot are verified, which joins most copies to a few components, and then every pair of classes
-that still have different labels and whose signatures don't rule the threshold out, each in the first band that the two
-share. So no link between different texts is lost to a group's size, and a large group of
-copies costs pairs in proportion to its size. What may be lost: a pair at the threshold shares no band with a
-probability of 2e-8, and is ruled out by its signature bits with one of 3e-7.
+Documents with equal sets are one class from then on. Classes that share a band are a bucket, and each bucket has a pivot.
+
+1. Every class is compared with the pivots of its buckets, on full sets. That links most copies, and leaves for each class
+   its delta: the shingles that only it or only the pivot has. Sizes and deltas tell exactly how alike two classes with one
+   pivot are.
+2. Such a pair, if not both are linked with the pivot, only reaches the threshold if its deltas share so many shingles that
+   the first ones of both, up to a length that follows from the sizes, have one in common (prefix filter). Deltas are
+   ordered by how many of the group have a shingle, rarest first, so that classes that aren't alike seldom meet.
+3. In each such shingle, all classes are compared with one of them; then those that meet and still have different labels.
+
+Nothing is ruled out by an estimate: the only pairs at the threshold that are lost are those that share no band, with a
+probability of 2e-8. A group of texts that are alike, but not enough so, costs little more than its size.
 """
 
 from __future__ import annotations
@@ -27,15 +33,17 @@ from .graph import components
 from .hashing import Hasher, U, chunks, mix, rolling, texts_of, tokens
 
 SHINGLE, PERCENT = 5, 85
-SLOTS, BANDS, ROWS = 512, 24, 4
-#: Four bits of each slot, in 32 longs. At the threshold 153.6 of 2048 bits differ on average, with a deviation of 18.4 at
-#: most; five deviations above that is where a pair is ruled out (of similarity 0.76, half are).
-SKETCH, MOST_DIFFERENT = 32, 246
-#: Bytes of text whose signatures are made at once; the permutations of their shingles take some 90 MB.
+BANDS, ROWS = 24, 4
+#: Bytes of text whose signatures are made at once.
 CHUNK = 1 << 19
 #: Partners of one class that a task verifies.
 PARTNERS = 64
-NODE = "doc_id long, n long, set_a long, set_b long, bands array<long>, sketch array<long>"
+NODE = "doc_id long, n long, set_a long, set_b long, bands array<long>"
+#: n and m: the shingles of u and v; ``of`` tells u's texts apart where several rows have its doc_id. v's delta to u: what v
+#: has and u lacks, then what u has and v lacks, by hash each.
+COMPARED = "u long, v long, of long, linked boolean, n long, m long, delta array<long>"
+#: Shingles of deltas that a batch holds.
+HELD = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher) -> Iterator[np.ndarray]:
@@ -52,7 +60,7 @@ def shingle_sets(texts: list[bytes], hasher: Hasher) -> Iterator[np.ndarray]:
                 yield mix(rolling(h[a:b], b - a) + U(b - a)) if b > a else np.zeros(0, np.uint64)
 
 
-def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+def signatures(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
     """SuperMinHash of each set: a row of slots, each a step (high 32 bits) and a fraction (low 32 bits)."""
     unset = U(0xFFFFFFFFFFFFFFFF)
     out = np.full((len(sets), slots), unset)
@@ -94,12 +102,6 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return h
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each slot, as SKETCH longs a row."""
-    nibble = (mix(sig) >> U(60)).astype(np.uint8)
-    return np.ascontiguousarray(nibble[:, ::2] << 4 | nibble[:, 1::2]).view("<u8")
-
-
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(fold=True)
     names = [x.split()[0] for x in NODE.split(", ")]
@@ -110,84 +112,142 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingle_sets(texts[i:j], hasher))
             sig = signatures(sets)
             sums = [np.array([mix(s ^ U(c)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in (0x51ED, 0xC0FFEE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), lists(band_hashes(sig)), lists(sketches(sig))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), lists(band_hashes(sig))], names)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, side, id, text), the texts of ``a`` (side 0) before those of its partners."""
-    hasher, now, own = Hasher(fold=True), None, []
+    hasher, now, own, held = Hasher(fold=True), None, [], 0
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        *plain, delta = zip(*rows, strict=True)
+        ends = np.cumsum([0, *map(len, delta)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(ends, np.concatenate(delta))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(plain, kinds, strict=True)), lists], [x.split()[0] for x in COMPARED.split(", ")])
+
     for batch in batches:
         a, salt, side, ids = (batch.column(i).to_pylist() for i in range(4))
-        u, v = [], []
         for i, s in enumerate(shingle_sets(texts_of(batch.column(4)), hasher)):
             if (a[i], salt[i]) != now:
                 now, own = (a[i], salt[i]), []
             if side[i] == 0:
-                own.append(s)
+                own.append((int(mix(s).sum().view(np.int64)), s))
                 continue
-            for o in own:
-                few, many = (s, o) if len(s) < len(o) else (o, s)
-                if 100 * len(few) < PERCENT * len(many) or not len(few):
-                    continue
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                both = int((many[at] == few).sum())
-                if 100 * both >= PERCENT * (len(few) + len(many) - both):
-                    u.append(a[i])
-                    v.append(ids[i])
-                    break
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' sets reach the threshold, as (u, v). Each text goes once to each group of at most
-    about PARTNERS pairs of one class; a class with more partners is dealt to several groups."""
+            for of, o in own:
+                delta = np.concatenate([np.setdiff1d(s, o, assume_unique=True), np.setdiff1d(o, s, assume_unique=True)])
+                apart, total = len(delta), len(s) + len(o)  # of both: (total - apart) / 2, of either: (total + apart) / 2
+                rows.append((a[i], ids[i], of, 100 * (total - apart) >= PERCENT * (total + apart), len(o), len(s), delta.view(np.int64)))
+                held += apart
+                if held > HELD:
+                    yield out()
+                    rows, held = [], 0
+        if rows:
+            yield out()
+            rows, held = [], 0
+
+
+def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """COMPARED for the pairs (a, b) of doc_ids. Each text goes once to each group of at most about PARTNERS pairs of one
+    ``a``; one with more partners is dealt to several groups. Of rows that repeat a doc_id, every text is compared."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select(F.col("a").alias("hub"), F.ceil(F.col("n") / PARTNERS).cast("int").alias("groups"))
-    dealt = pairs.join(many, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("salt"))
+    dealt = pairs.join(broadcast_if_small(cut(many), 200_000), F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("salt"))
     dealt = cut(dealt)
     uses = dealt.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("id")))
     uses = broadcast_if_small(cut(uses), 200_000)
     texts = docs.select("doc_id", "text").join(uses, F.col("doc_id") == F.col("id")).select("a", "salt", "side", "id", "text")
-    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(_verified, "u long, v long")
+    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(_compared, COMPARED)
+
+
+def least_shared(d: Column, e: Column, n: Column, m: Column) -> Column:
+    """How many shingles the deltas of two classes (d and e long; of n and m shingles) share at least, if the classes reach
+    the threshold. With both sets' sizes and H = d + e - 2 * shared: 100 * (n + m - H) >= PERCENT * (n + m + H)."""
+    return F.ceil(((100 + PERCENT) * (d + e) - (100 - PERCENT) * (n + m)) / (2.0 * (100 + PERCENT)) - 1e-9).cast("int")
+
+
+def mixed_groups(compared: DataFrame, label: DataFrame) -> DataFrame:
+    """The compared classes of pivots whose classes have different labels, each with a number ``g`` for class and pivot."""
+    own = compared.join(label, F.col("v") == F.col("node"), "left").withColumn("label", F.coalesce("component", "v"))
+    mixed = own.groupBy("u").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select(F.col("u").alias("pivot"))
+    own = own.join(mixed, F.col("u") == F.col("pivot"))
+    return own.select(F.xxhash64("u", "of", "v").alias("g"), "u", "of", "v", "linked", "n", "m", F.size("delta").alias("d"), "delta")
+
+
+def places(own: DataFrame) -> DataFrame:
+    """(key, g, v, m, d, at): the shingles by which classes of ``mixed_groups`` may meet, with their places in the deltas.
+
+    Only shingles that two deltas of a group have are shuffled back; the others come first in each delta, being rarer. A
+    class that is linked with the pivot has to meet one that isn't, whose delta is over (100 - PERCENT) / (100 + PERCENT)
+    of its and the pivot's shingles, so the two share over half of the linked one's delta, less what it is longer than the
+    pivot. One that isn't may also meet a linked one, whose delta has a shingle at least.
+    """
+    each = own.select("g", "u", "of", F.explode("delta").alias("shingle")).select("g", F.xxhash64("u", "of", "shingle").alias("key"))
+    often = cut(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"), "n"))
+    shared = each.join(often, F.col("key") == F.col("again")).groupBy(F.col("g").alias("of_g")).agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    rate, slack = (100 - PERCENT) / (100 + PERCENT), 1e-9
+    apart = F.floor((F.col("d") + rate * (F.col("n") - F.col("m"))) / 2 - slack) + 1  # with one that isn't linked
+    beside = F.ceil((F.col("d") + (1 - rate) - rate * (F.col("n") + F.col("m"))) / 2 - slack)  # one that isn't, with one that is
+    least = F.greatest(F.when(F.col("linked"), apart).otherwise(F.least(apart, beside)), F.lit(1)).cast("int")
+    rows = own.drop("delta").withColumn("first", F.col("d") - least + 1).join(shared, F.col("g") == F.col("of_g"))
+    alone = F.col("d") - F.size("keys")
+    found = rows.select("g", "v", "m", "d", alone.alias("alone"), F.posexplode(F.slice("keys", F.lit(1), F.greatest(F.col("first") - alone, F.lit(0)))).alias("i", "k"))
+    return cut(found.select("k.key", "g", "v", "m", "d", (F.col("alone") + F.col("i")).alias("at")))
+
+
+def _may_link(l: str, r: str) -> Column:
+    """Whether two places of one key can belong to classes at the threshold."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    need = least_shared(of(l, "d"), of(r, "d"), of(l, "m"), of(r, "m"))
+    return (100 * F.least(of(l, "m"), of(r, "m")) >= PERCENT * F.greatest(of(l, "m"), of(r, "m"))) & (of(l, "at") <= of(l, "d") - need) & (of(r, "at") <= of(r, "d") - need)
+
+
+def linked(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (g, h) of classes with one pivot that reach the threshold, as (u, v); by their deltas, which is exact."""
+    l = own.select(F.col("g").alias("a"), F.col("v").alias("x"), F.col("m").alias("n"), F.col("delta").alias("own"))  # noqa: E741
+    r = own.select(F.col("g").alias("b"), F.col("v").alias("y"), F.col("m").alias("m"), F.col("delta").alias("other"))
+    apart, total = F.size("own") + F.size("other") - 2 * F.size(F.array_intersect("own", "other")), F.col("n") + F.col("m")
+    both = pairs.join(l, F.col("g") == F.col("a")).join(r, F.col("h") == F.col("b"))
+    return both.where(100 * (total - apart) >= PERCENT * (total + apart)).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
-def alike(l: str, r: str) -> Column:
-    """Neither the sizes nor the sketches of two classes rule the threshold out."""
-    n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
-    bits = sum((F.bit_count(F.col(f"{l}.sketch")[i].bitwiseXOR(F.col(f"{r}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (bits <= MOST_DIFFERENT)
+def links_within(own: DataFrame, links: DataFrame) -> DataFrame:
+    """Further links between classes with one pivot: as many as it takes to connect all that are."""
+    at = places(own)
+    one = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("x"), "g", "v", "m", "d", "at")).alias("p")).select(F.col("key").alias("same"), "p.*")
+    star = at.alias("l").join(one.alias("p"), (F.col("l.key") == F.col("p.same")) & (F.col("l.v") != F.col("p.v")) & _may_link("l", "p"))
+    star = cut(star.select(F.col("l.g").alias("g"), F.col("p.g").alias("h")).distinct())
+    links = cut(links.unionByName(linked(star, own)))
+    label = cut(components(links, 1))  # nodes of one label are linked, which is enough here
+    named = at.join(label, F.col("v") == F.col("node"), "left").select("key", "g", "v", "m", "d", "at", F.coalesce("component", "v").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select(F.col("key").alias("same"))
+    named = cut(named.join(mixed, F.col("key") == F.col("same")).drop("same"))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.v") < F.col("r.v")) & (F.col("l.label") != F.col("r.label")) & _may_link("l", "r")
+    rest = named.alias("l").join(named.alias("r"), on).select(F.col("l.g").alias("g"), F.col("r.g").alias("h")).distinct()
+    return links.unionByName(linked(cut(rest), own))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text; other columns are ignored, whatever their names): doc_id, n_shingles,
+    component_id, kept.
 
-    A text without words, or null, has an empty set and is linked with nothing. Rows that repeat a doc_id are one
-    document to links: they share a component. A row without a doc_id is linked with nothing, has no component, and is
-    kept. An empty table gives an empty result.
+    A text without words, or null, has an empty set and is linked with nothing. Very long texts are taken whole, each by
+    one task. Rows that repeat a doc_id are one document to links: they share a component. A row without a doc_id is linked
+    with nothing, has no component, and is kept. Ties between pivots go by hash and id. An empty table gives an empty result.
     """
     nodes = cut(docs.select("doc_id", "text").mapInArrow(_nodes, NODE))
-    classes = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
-    classes = cut(classes.select("n", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"))
+    classes = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
+    classes = cut(classes.select("n", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands"))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("rep").alias("h"), "rep")  # one class is the pivot of most of its buckets
-    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("p")).where("size > 1").select(F.col("band").alias("bucket"), "size", F.col("p.rep").alias("pivot"))
-    members = cut(banded.join(shared, F.col("band") == F.col("bucket")).select("band", "rep", "size", "pivot"))
-    pairs = members.where(F.col("rep") != F.col("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    about = classes.select("rep", "n", "sketch")
-    pairs = pairs.join(about.alias("l"), F.col("a") == F.col("l.rep")).join(about.alias("r"), F.col("b") == F.col("r.rep")).where(alike("l", "r")).select("a", "b")
-    links = cut(verify(cut(pairs), docs))
-
-    label = components(links)
-    large = members.where(F.col("size") > 2).join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = large.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select(F.col("band").alias("bucket"))
-    rest = cut(large.join(mixed, F.col("band") == F.col("bucket")).select("band", "rep", "label"))
-    if not rest.isEmpty():
-        full = rest.join(classes.select(F.col("rep").alias("of"), "n", "sketch", "bands"), F.col("rep") == F.col("of"))
-        first = F.get(F.array_intersect(F.col("l.bands"), F.col("r.bands")), 0) == F.col("l.band")
-        on = (F.col("l.band") == F.col("r.band")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.label") != F.col("r.label")) & alike("l", "r") & first
-        more = full.alias("l").join(full.alias("r"), on).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-        links = cut(links.unionByName(verify(cut(more), docs)))
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("p")).where("size > 1").select(F.col("band").alias("bucket"), F.col("p.rep").alias("pivot"))
+    pairs = banded.join(shared, F.col("band") == F.col("bucket")).where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    compared = cut(compare(cut(pairs), docs))
+    links = compared.where("linked").select("u", "v")
+    own = cut(mixed_groups(compared, components(links, 1)))
+    if not own.isEmpty():
+        links = links_within(own, links)
 
     found = components(links)
     named = classes.select("n", "set_a", "set_b", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("m"), F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("component", "rep").alias("component"))
