@@ -27,14 +27,13 @@ GAP = 1
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """Which code points are letters."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str) -> np.ndarray:
     """The n-grams of the whole text as numbers, 21 bits a character; as often as they are there."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    known = _letters()
-    letter = known[np.minimum(points, len(known) - 1)] & (points < len(known))
+    letter = _letters()[points]
     if not letter.any():
         return np.zeros(0, np.int64)
     kept = letter.copy()
@@ -118,21 +117,23 @@ def nearest(text: str, profiles: Profiles, compared: int = COMPARED, profile: in
     return best, max(0.0, 1.0 - least / (profile * len(own)))
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep: list[str] = ()) -> DataFrame:
-    """Every row of ``docs`` with lang_pred and score added: doc_id, lang_pred, score and the ``keep`` columns.
+def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """Every row of ``docs`` with all its columns, and lang_pred and score added (columns of these names are replaced).
 
-    Only the text is looked at, all of it. A null text, or one without a letter, is ``und`` with score 0.
+    Only the text is looked at, all of it, however long. A null or empty text, or one without a letter, is ``und`` with
+    score 0. Repeated rows are rows of their own. Only texts go to Python, and only the two results come back.
     """
-    names = ["doc_id", *keep]
-    schema = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names) + ", lang_pred string, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [nearest(x.as_py() or "", profiles) for x in batch.column(len(names))]
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def verdict(texts: pa.Array) -> pa.Array:
+        found = [nearest(x.as_py() or "", profiles) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
-    return docs.select(*names, F.col("text").alias("_text_")).mapInArrow(run, schema)
+    name = "_verdict"
+    while name in docs.columns:
+        name += "_"
+    out = docs.drop("lang_pred", "score").withColumn(name, verdict("text"))
+    return out.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).drop(name)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -141,7 +142,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def language(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row; profiles are learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score of each row (doc_id, text, lang; other columns are ignored); profiles are learned
+    from the rows that aren't held out and have text and lang. Without any, all rows are ``und``."""
     profiles = learn(docs.where(~held_out(F.col("doc_id"))))
-    out = identify(docs, profiles)
+    out = identify(docs.select("doc_id", "text"), profiles)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
