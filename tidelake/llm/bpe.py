@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces whose ids a worker remembers at most; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: A longer piece isn't remembered.
-LONG_PIECE = 64
+LONG_PIECE = 32
+#: Tokens that a batch of results holds.
+HELD = 1 << 20
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,9 +48,9 @@ class Bpe:
         for token, rank in self.usable.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.fits = lru_cache(1 << 20)(self._fits)
+        self.fits = lru_cache(1 << 17)(self._fits)
         self.shorter = lru_cache(1 << 16)(self._shorter)
-        self.known: dict[str, array] = {}
+        self.known: dict[str, bytes] = {}
 
     def _splits(self) -> dict[int, tuple[int, int]]:
         """The pair of tokens whose merge makes each token; a single byte has none. A token that merging its own bytes
@@ -126,16 +128,17 @@ class Bpe:
             token = shorter
 
     def encode(self, text: str) -> array:
-        known, out = self.known, array("I")
+        known, parts, out = self.known, [], array("I")
         for piece in self.pieces(text):
             ids = known.get(piece)
             if ids is None:
-                ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+                ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
                 if len(piece) <= LONG_PIECE:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[piece] = ids
-            out += ids
+            parts.append(ids)
+        out.frombytes(b"".join(parts))
         return out
 
     def decode(self, ids) -> bytes:
@@ -151,7 +154,8 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, keep: bool = Fals
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep``, also ids (array<int>)
     and decoded (the text after the round trip).
 
-    A null or empty text has no tokens and the digests of nothing. Repeated rows give repeated results. ``ranks`` is
+    A null or empty text has no tokens and the digests of nothing. Repeated rows give repeated results; other columns are
+    ignored, whatever their names. A text is encoded whole, however long; its ids take four bytes each. ``ranks`` is
     the content of a rank file, read by the driver (under 1 MB) and sent with the function, so workers open no files.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -161,22 +165,32 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, keep: bool = Fals
         import sys
 
         codec = _codec(broadcast.value, pattern)
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            digests, ends, flat, texts, at = [], [0], array("I"), [], 0
+
+            def out(upto: int) -> pa.RecordBatch:
+                counts = pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64())
+                columns = [batch.column(0).slice(at, upto - at), counts, *(pa.array(c, pa.string()) for c in zip(*digests, strict=True))]
+                if keep:
+                    ids = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat.tobytes())])
+                    columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.array(texts, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for i, text in enumerate(batch.column(1)):
                 ids = codec.encode(text.as_py() or "")
                 decoded = codec.decode(ids)
+                little = ids
                 if sys.byteorder == "big":
                     little = array("I", ids)
                     little.byteswap()
-                else:
-                    little = ids
-                row = [doc_id, len(ids), hashlib.sha256(little.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                rows.append([*row, list(ids), decoded.decode("utf-8", "replace")] if keep else row)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * (6 if keep else 4)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
+                digests.append((hashlib.sha256(little.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                ends.append(ends[-1] + len(ids))
+                if keep:
+                    flat += ids
+                    texts.append(decoded.decode("utf-8", "replace"))
+                if keep and ends[-1] > HELD or i + 1 == len(batch):
+                    yield out(i + 1)
+                    digests, ends, flat, texts, at = [], [0], array("I"), [], i + 1
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
-

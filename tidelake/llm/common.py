@@ -14,8 +14,15 @@ WHITE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say otherwise.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package as the driver does; on a cluster it comes as --py-files."""
+    """Lets Python workers on this machine import the package as the driver does; on a cluster it comes as --py-files. Also
+    bounds their batches by bytes, so that long texts don't add up."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
