@@ -53,8 +53,8 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), f"{WHITE}+", " "))
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the base figures of each row, and its distinct normalised lines as (h, chars)."""
+def base_metrics(docs: DataFrame, key: Column) -> DataFrame:
+    """key, doc_id, source, the base figures of each row, and its normalised lines as (h, chars)."""
     text = F.coalesce("text", F.lit(""))
     solid = F.translate(text, WHITE_CHARS, "")
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -67,37 +67,54 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), keyed.alias("lines"))
 
     out = docs.select(
-        "doc_id", "source",
+        key.alias("key"), "doc_id", "source",
         let(words(F.col("text")), of_words).alias("w"),
         F.length(solid).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(full, of_lines).alias("l"),
     )
     failed = (F.col("w.n_words") < LEAST_WORDS) | (100 * F.col("w.n_repeat_words") > REPEAT_PERCENT * F.col("w.n_words"))
-    return out.select("doc_id", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), "l.lines")
-
-
-def common_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
-    """(source, h) of lines above the limits. Counts are pre-aggregated in each task, so a hot host or line is a row a task."""
-    hosts = lines.groupBy("source").agg(F.count("*").alias("host_docs"))
-    found = lines.select("source", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("source", "h").agg(F.count("*").alias("line_docs"))
+    return out.select("key", "doc_id", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), "l.lines")
+
+
+def common_lines(rows: DataFrame, limits: LineLimits) -> DataFrame:
+    """(source, h) of lines above the limits, by the distinct documents of a host. Counts are pre-aggregated in each task, so
+    a hot host or line is a row a task; only rows that repeat the id of another are made distinct first."""
+    repeated = cut(rows.where("doc_id IS NOT NULL").groupBy("source", "doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    again = repeated.select(F.col("source").alias("s"), F.col("doc_id").alias("d"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("doc_id") == F.col("d"))
+    hosts = rows.select("source", F.lit(1).alias("n")).unionByName(repeated.select("source", (1 - F.col("n")).alias("n"))).groupBy("source").agg(F.sum("n").alias("host_docs"))
+    each = lambda x: x.select("source", "doc_id", F.explode(F.array_distinct("lines.h")).alias("h"))
+    lines = each(rows.join(again, same, "left_anti")).unionByName(each(rows.join(again, same, "left_semi")).distinct())
+    found = lines.groupBy("source", "h").agg(F.count("*").alias("line_docs"))
     found = found.where(F.col("line_docs") >= limits.docs).join(hosts.withColumnRenamed("source", "host"), F.col("source").eqNullSafe(F.col("host")))
     return found.where(F.col("line_docs") >= limits.share * F.col("host_docs")).select("source", "h")
 
 
-def quality(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source; other columns are ignored).
+def quality(docs: DataFrame, limits: LineLimits = LineLimits(), texts: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source; other columns are ignored, whatever their names).
 
-    A null or blank text has no words and fails the base rules. A null source is a host of its own. Rows that repeat a
-    doc_id are judged each by its own text, except that their common lines are summed under the key (doc_id, row), so no
-    row is lost or doubled. An empty table gives an empty result.
+    A null or blank text has no words and fails the base rules; a very long one is judged whole. A null source is a host of
+    its own, and a row without an id a document of its own. Rows that repeat an id are judged each by its own text, but
+    count as one document of their host. Limits that are just reached count as reached. An empty table gives an empty result.
 
-    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and removed_chars.
+    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars and, with
+    ``texts``, the text without its common lines.
     """
-    base = cut(base_metrics(docs).withColumn("row", F.monotonically_increasing_id()))
+    key = F.xxhash64("doc_id", "source", "text")
+    base = cut(base_metrics(docs, key).withColumn("row", F.monotonically_increasing_id()))  # kept, so that numbers stay
     common = broadcast_if_small(cut(common_lines(base, limits)).withColumnsRenamed({"source": "host", "h": "line"}), limits.broadcast_rows)
-    held = base.where(F.size("lines") > 0).select("row", "source", F.explode("lines").alias("x")).select("row", "source", "x.h", "x.chars")
-    lost = held.join(common, F.col("source").eqNullSafe(F.col("host")) & (F.col("h") == F.col("line"))).groupBy("row").agg(F.sum("chars").alias("removed_chars"))
+    held = base.where(F.size("lines") > 0).select("row", "key", "source", F.explode("lines").alias("x")).select("row", "key", "source", "x.h", "x.chars")
+    held = held.join(common, F.col("source").eqNullSafe(F.col("host")) & (F.col("h") == F.col("line")))
+    lost = held.groupBy("row").agg(F.sum("chars").alias("removed_chars"))
     out = base.drop("lines").join(lost, "row", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)))
     kept = ~F.col("base_failed") & (F.col("removed_chars") <= limits.depleted * F.col("word_chars"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "removed_chars")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars"]
+    out = out.withColumn("kept", kept)
+    if not texts:
+        return out.select(*names)
+    gone = cut(held.groupBy(F.col("key").alias("of")).agg(F.collect_set("h").alias("gone")))  # equal rows lose the same lines
+    full = docs.select("text", key.alias("of")).groupBy("of").agg(F.first("text").alias("text")).join(gone, "of", "left")
+    stays = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("gone", F.xxhash64(normal_line(x)))))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    return out.join(full.select("of", text.alias("text")), F.col("key") == F.col("of")).select(*names, "text")
