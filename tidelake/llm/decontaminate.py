@@ -2,28 +2,25 @@
 
 Of every W consecutive K-gram hashes the smallest (the rightmost of equals) is a fingerprint, so two texts that share
 K + W - 1 words share a fingerprint at the same place of the shared span. Training fingerprints are joined with those
-of the benchmark; each hit carries the words around it and is extended to the windows of ten words that hold it,
-which are compared word by word with the benchmark's windows.
+of the benchmark; at each hit, the windows of ten words that hold it are compared word by word with the benchmark's
+windows. An item of fewer words is one window, found by the hash of all its words. Only hashes and places are joined
+with the benchmark, all in one pass over the documents; texts are read again only where there was a hit.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_ascii
+from .common import broadcast_if_small, cut, let, lower_ascii
 
 #: The separators of words, the window and the fingerprints (K + W - 1 = WINDOW).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WINDOW, K, W = 10, 5, 6
 #: Low bits of a long that hold a place in a text.
 PLACES = (1 << 28) - 1
-#: Rows of the benchmark side that one pass broadcasts (under 100 MB); a larger benchmark is taken in blocks of so many.
-BLOCK = 200_000
-#: A benchmark of at most so many fingerprints (160 kB) is looked up in the plan itself; a larger one is joined.
-LISTED = 20_000
+#: Rows of a side that are broadcast (under 100 MB); a larger one is shuffled.
+BROADCAST = 200_000
 
 
 def item_words(text: Column) -> Column:
@@ -38,11 +35,6 @@ def grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) < n, F.array().cast("array<struct<at:int,words:string>>")).otherwise(F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("words"))))
 
 
-def _grams_of(n: int):
-    """A function of one argument, as those of lambdas have to be."""
-    return lambda w: grams(w, n)
-
-
 def fingerprints(w: Column) -> Column:
     """Places of the winnowed K-grams of texts with WINDOW words or more; else none.
 
@@ -55,91 +47,65 @@ def fingerprints(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW, F.array().cast("array<int>")).otherwise(places)
 
 
-def gram_hash(w: Column, at: Column) -> Column:
-    return F.xxhash64(F.slice(w, at + 1, K))
-
-
-def blocks_of(df: DataFrame, key: str, most: int) -> list[DataFrame]:
-    """The rows in as many blocks, by a hash of the key, as keep each near ``most`` rows, marked for broadcast."""
-    n = -(-df.count() // most) or 1
-    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else df) for i in range(n)]
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _around(w: Column, at: Column) -> tuple[Column, Column]:
-    """The words of all windows that hold the gram at ``at``, and the place of the first."""
-    lo = F.greatest(F.lit(0), at - (WINDOW - K))
-    return F.slice(w, lo + 1, F.least(at + WINDOW, F.size(w)) - lo), lo
-
-
-def _spans_listed(base: DataFrame, marks: list[int]) -> DataFrame:
-    """(doc_id, row, n, at, words): the windows around each fingerprint that is among ``marks``, and for each row of
-    ``base`` one without words that has its number of words. Fingerprints are looked up before anything is exploded."""
-    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("words"))
-
-    def near(w: Column) -> Column:
-        def windows(at: Column) -> Column:
-            around, lo = _around(w, at)
-            return F.transform(grams(around, WINDOW), lambda g: F.struct((g["at"] + lo).alias("at"), g["words"].alias("words")))
+def marks(w: Column, lengths: list[int]) -> Column:
+    """(h, at, n): the fingerprints of a text, n being 0, and each of its grams of the ``lengths`` of short items."""
+    gram = lambda at, n: F.struct(F.xxhash64(F.lit(n), F.slice(w, at + 1, n or K)).alias("h"), at.alias("at"), F.lit(n).alias("n"))
+    none = F.array().cast("array<struct<h:bigint,at:int,n:int>>")
 
-        hit = F.filter(fingerprints(w), lambda at: gram_hash(w, at).isin(marks)) if marks else F.array().cast("array<int>")
-        return F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(none), F.flatten(F.transform(hit, windows))).alias("g"))
+    def of(n: int) -> Column:
+        return F.when(F.size(w) < n, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda at: gram(at, n)))
 
-    rows = base.select("doc_id", "row", let(F.col("w"), near).alias("x"))
-    return rows.select("doc_id", "row", "x.n", F.explode("x.g").alias("g")).select("doc_id", "row", "n", "g.at", "g.words")
+    return F.concat(F.transform(fingerprints(w), lambda at: gram(at, 0)), *[of(n) for n in lengths])
 
 
-def _spans_joined(base: DataFrame, marks: DataFrame, block: int) -> DataFrame:
-    """The same for any number of marks: fingerprints are exploded with the words around them and joined."""
+def windows_at(w: Column, places: Column) -> Column:
+    """(at, words) of the windows of ``w`` that each of the places (at, n) stands for, each window once."""
 
-    def marked(w: Column) -> Column:
-        own = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("place"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("from"), F.size(w).alias("n"))
-        each = lambda at: F.struct(gram_hash(w, at).alias("h"), at.alias("place"), _around(w, at)[0].alias("around"), _around(w, at)[1].alias("from"), F.lit(0).alias("n"))
-        return F.concat(F.array(own), F.transform(fingerprints(w), each))
+    def around(p: Column) -> Column:
+        lo = F.greatest(F.lit(0), p["at"] - (WINDOW - K))
+        near = grams(F.slice(w, lo + 1, F.least(p["at"] + WINDOW, F.size(w)) - lo), WINDOW)
+        short = F.array(F.struct(p["at"].alias("at"), F.array_join(F.slice(w, p["at"] + 1, p["n"]), " ").alias("words")))
+        return F.when(p["n"] > 0, short).otherwise(F.transform(near, lambda g: F.struct((g["at"] + lo).alias("at"), g["words"].alias("words"))))
 
-    places = base.select("doc_id", "row", F.explode(let(F.col("w"), marked)).alias("p")).select("doc_id", "row", "p.*")
-    hits = _union([places.join(b, F.col("h") == F.col("mark"), "left").where((F.col("place") < 0 if i == 0 else F.lit(False)) | F.col("mark").isNotNull()) for i, b in enumerate(blocks_of(marks, "mark", block))])
-    windows = F.when(F.col("place") < 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("words")))).otherwise(grams(F.col("around"), WINDOW))
-    return hits.select("doc_id", "row", "n", "from", F.explode(windows).alias("g")).select("doc_id", "row", F.col("n").cast("long").alias("n"), (F.col("from") + F.col("g.at")).alias("at"), F.col("g.words").alias("words"))
+    return F.array_distinct(F.flatten(F.transform(places, around)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated, and hit_at (array of the first words of matched windows with their lengths).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; other columns are ignored, whatever their names): doc_id, n_words, n_hit,
+    n_items, items_sha256, contaminated, and hit_at (array of the first words of matched windows with their lengths).
 
-    A null text has no words and no hits. Items without words match nothing; an item with a null id counts as a hit but
-    not as an item; items that repeat an id are one item with the windows of all. Rows that repeat a doc_id are judged
-    each by its own text, and come out as often as they are there. Empty tables on either side are fine.
+    A null or empty text has no words and no hits; a very long one is taken whole. Items without words match nothing; an
+    item with a null id counts as a hit but not as an item; items that repeat an id are one item with the windows of all;
+    items with equal windows are all found. Rows that repeat a doc_id are judged each by its own text, and come out as often
+    as they are there. Empty tables on either side are fine.
     """
     items = cut(benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0))
-    windows = items.select("item_id", F.explode(grams(F.col("w"), WINDOW)).alias("g")).groupBy("g.words").agg(F.collect_set("item_id").alias("items"))
+    own = F.when(F.size("w") < WINDOW, F.array(F.struct(F.lit(0).alias("at"), F.array_join("w", " ").alias("words")))).otherwise(grams(F.col("w"), WINDOW))
+    windows = items.select("item_id", F.explode(own).alias("g")).groupBy("g.words").agg(F.collect_set("item_id").alias("items"))
     windows = cut(windows.select(F.col("words").alias("window"), "items"))
-    marks = cut(items.select(F.explode(let(F.col("w"), lambda w: F.transform(fingerprints(w), lambda at: gram_hash(w, at)))).alias("mark")).distinct())
-    short = items.where(F.size("w") < WINDOW).groupBy(F.size("w").alias("n"), F.array_join("w", " ").alias("window")).agg(F.collect_set("item_id").alias("items"))
-    short = cut(short)
-    lengths = [r[0] for r in short.select("n").distinct().collect()]  # under WINDOW values
-
-    base = docs.select("doc_id", F.xxhash64("text").alias("row"), item_words(F.col("text")).alias("w"))
-    few = [r[0] for r in marks.limit(listed + 1).collect()]
-    spans = _spans_listed(base, few) if len(few) <= listed else _spans_joined(base, marks, block)
-    found = _union([spans.join(b, F.col("words") == F.col("window"), "left").where((F.col("words").isNull() if i == 0 else F.lit(False)) | F.col("window").isNotNull()) for i, b in enumerate(blocks_of(windows, "window", block))])
-    found = found.withColumn("len", F.lit(WINDOW))
-    found = found.select("doc_id", "row", "n", "at", "len", "items")
-    for n in sorted(lengths):
-        there = base.select("doc_id", "row", F.explode(let(F.col("w"), _grams_of(n))).alias("g"))
-        for b in blocks_of(short.where(F.col("n") == n).select("window", "items"), "window", block):
-            found = found.unionByName(there.join(b, F.col("g.words") == F.col("window")).select("doc_id", "row", F.lit(0).cast("long").alias("n"), F.col("g.at").alias("at"), F.lit(n).alias("len"), "items"))
-
-    one = found.groupBy("doc_id", "row").agg(
-        F.max("n").alias("n_words"), F.count_if(F.col("at").isNull() | (F.col("at") < 0)).alias("copies"),
-        F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "len"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+    lengths = sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # nine at most
+    short = [F.when(F.size("w") == n, F.array(F.xxhash64(F.lit(n), F.slice("w", 1, n)))).otherwise(F.array().cast("array<bigint>")) for n in lengths]
+    known = items.select(F.explode(F.concat(let(F.col("w"), lambda w: F.transform(marks(w, []), lambda m: m["h"])), *short)).alias("mark")).distinct()
+    known = broadcast_if_small(cut(known), broadcast)
+
+    key = F.xxhash64("text")
+    words = docs.select("doc_id", key.alias("row"), item_words(F.col("text")).alias("w"))
+    none = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("at"), F.lit(0).alias("n"))
+    each = words.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(F.array(none), let(F.col("w"), lambda w: marks(w, lengths)))).alias("m"))
+    hits = each.select("doc_id", "row", "n_words", "m.h", "m.at", "m.n").join(known, F.col("h") == F.col("mark"), "left").where((F.col("at") < 0) | F.col("mark").isNotNull())
+    place = F.when(F.col("at") >= 0, F.struct("at", "n"))
+    rows = cut(hits.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("at") < 0).alias("copies"), F.collect_set(place).alias("places")))
+
+    # Equal texts have equal hits, so each is looked at once.
+    texts = rows.where(F.size("places") > 0).select(F.col("row").alias("of"), "places").dropDuplicates(["of"])
+    texts = words.select("row", "w").join(broadcast_if_small(cut(texts), broadcast // 10), F.col("row") == F.col("of")).select("row", F.explode(let(F.struct("w", "places"), lambda x: windows_at(x["w"], x["places"]))).alias("g"))
+    found = texts.select("row", "g.at", "g.words").join(broadcast_if_small(windows, broadcast), F.col("words") == F.col("window"))
+    size = F.size(F.split("words", " "))  # words hold no space
+    found = found.groupBy(F.col("row").alias("of")).agg(F.collect_set(F.struct("at", size.alias("len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     add = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(s["at"], a["to"]))).alias("n"), F.greatest(a["to"], s["at"] + s["len"]).alias("to"))
     covered = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), add, lambda a: a["n"].cast("long"))
     ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
-    one = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies").cast("int"), F.lit(1)))))
-    return one.select("doc_id", F.col("n_words"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (covered > 0).alias("contaminated"), F.col("spans").alias("hit_at"))
+    found = found.select("of", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("ids"), "spans")
+    one = rows.join(found, F.col("row") == F.col("of"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return one.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<at:int,len:int>>")).alias("hit_at"))
