@@ -41,9 +41,10 @@ def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
     """Writes request, response or revisit, and metadata records for each row of ``pages`` (page_id, url, html).
 
     The payload is html in UTF-8, of a null none. Of payloads of at least 100 bytes that are equal, the one of the
-    smallest page_id is the response and the others revisit it, those without a page_id too. Rows that repeat a page_id and
-    its payload are one capture: names of records follow from both, and so are the same in every pass over the pages. Only digests are grouped and joined; payloads aren't shuffled unless over 200,000
-    payloads repeat.
+    smallest page_id is the response and the others revisit it, those without a page_id too. Names of records follow from
+    the page_id and the payload, and so are the same in every pass over the pages; of rows that repeat both, each has its
+    records, under the same names. Only digests are grouped and joined; payloads aren't shuffled unless over 200,000
+    payloads repeat. Other columns are ignored, whatever their names.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
@@ -148,26 +149,32 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, request, response (a response or a revisit), metadata.
+    """One nested row per capture: capture_id, request, response (a response or a revisit), metadata, and copies: how often
+    the response is there.
 
     A record belongs to the one that it is concurrent to, else to itself. A part that is missing is null; of repeated
-    parts the greatest is taken.
+    parts the greatest is taken, which for copies of one record is any of them.
     """
     part = F.struct("record_id", "kind", "refers_to", "page_id", "uri", "date", "digest", "payload_bytes", "payload")
     of = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), part))
-    return records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
+    return records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"), F.count_if(F.col("kind").isin("response", "revisit")).alias("copies"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` to a new folder of archives in the shared folder, reads them back, and returns page_id,
-    payload_bytes, payload_digest, record_type, refers_to and url, has_request, has_metadata."""
+    payload_bytes, payload_digest, record_type, refers_to and url, has_request, has_metadata.
+
+    One row per row of ``pages``, also of rows that are equal, or that have no page_id or html. A very large page is
+    one record, which has to fit in a task. An empty table gives an empty result.
+    """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_warc(pages, path)
     nested = assemble(read_warc(spark, path, with_payload=False))
-    one = nested.where(F.col("response").isNotNull()).select(
+    main = nested.where(F.col("response").isNotNull())
+    one = main.select(
         F.col("response.page_id").cast("long").alias("page_id"), "response.record_id", "response.kind", "response.digest", "response.payload_bytes", "response.uri",
-        F.col("response.refers_to").alias("to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"),
+        F.col("response.refers_to").alias("to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"), "copies",
     )
     one = cut(one)
     wanted = one.where(F.col("to").isNotNull()).select("to").distinct()
@@ -175,4 +182,5 @@ def captures(pages: DataFrame) -> DataFrame:
     first = first.join(wanted, F.col("first_record") == F.col("to"), "left_semi")
     again = one.where(F.col("to").isNotNull()).join(broadcast_if_small(first, 200_000), F.col("to") == F.col("first_record"), "left").drop("first_record")
     rest = one.where(F.col("to").isNull()).withColumns({"first_page": F.lit(None).cast("long"), "first_bytes": F.lit(None).cast("long")})
-    return rest.unionByName(again).select("page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first_page").alias("refers_to"), F.col("uri").alias("url"), "has_request", "has_metadata")
+    every = rest.unionByName(again).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select("page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first_page").alias("refers_to"), F.col("uri").alias("url"), "has_request", "has_metadata")
