@@ -80,18 +80,62 @@ def leaks(docs, items, size=10):
     return out
 
 
-def later_runs(rows, run=3):
-    """[(doc_id, text)] in order of id -> [(doc_id, n_lines, n_deleted, kept)]"""
+def later_runs(rows, run=3, words=50):
+    """[(doc_id, text)] in order of id -> [(doc_id, n_lines, n_deleted, kept)]; runs shorter than ``run`` lines have more
+    than ``words`` words, if it is given."""
     seen, out = set(), []
     for k, text in rows:
         lines = (text or "").split("\n")
         solid = [i for i, x in enumerate(lines) if WORD.search(x)]
         norm = [re.sub(r"[\x20\x09-\x0D]+", " ", lines[i]).strip(" ") for i in solid]
         gone = set()
-        for i in range(len(norm) - run + 1):
-            key = tuple(norm[i : i + run])
-            if key in seen:
-                gone |= {solid[j] for j in range(i, i + run)}
-            seen.add(key)
+        for size in range(1 if words is not None else run, run + 1):
+            for i in range(len(norm) - size + 1):
+                key = tuple(norm[i : i + size])
+                if size < run and sum(len(x.split(" ")) for x in key) <= words:
+                    continue
+                if key in seen:
+                    gone |= {solid[j] for j in range(i, i + size)}
+                seen.add(key)
         out.append((k, len(solid), len(gone), None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     return out
+
+
+def letters(text):
+    return any(c.isalpha() for c in text or "")
+
+
+def profile(text, most):
+    """The most frequent n-grams, by falling count and then by their characters; the gap between words is \x01."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    seen = Counter()
+    for w in words:
+        padded = f"\x01{w}\x01"
+        seen.update(w)
+        seen.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        seen.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    order = lambda g: [ord(c) for c in g.rjust(3, "\x00")]
+    return sorted(seen, key=lambda g: (-seen[g], order(g)))[:most], seen
+
+
+def languages(rows, kept=400, compared=300):
+    """[(doc_id, text, lang)] -> {doc_id: (lang_pred, score)}, learned from the ids whose crc32 doesn't leave 1 modulo 3."""
+    import zlib
+
+    held = lambda k: k is None or zlib.crc32(str(k).encode()) % 3 == 1
+    counts = defaultdict(Counter)
+    for k, text, lang in rows:
+        if not held(k) and text is not None and lang is not None and letters(text):
+            counts[lang].update(profile(text, None)[1])
+    order = lambda g: [ord(c) for c in g.rjust(3, "\x00")]
+    ranks = {lang: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], order(g)))[:kept])} for lang, c in sorted(counts.items())}
+    out = {}
+    for k, text, _ in rows:
+        if not letters(text) or not ranks:
+            out[k] = ("und", 0.0)
+            continue
+        own = profile(text, compared)[0]
+        far = {lang: sum(abs(r[g] - i) if g in r else kept for i, g in enumerate(own)) for lang, r in ranks.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        out[k] = (best, max(0.0, 1 - far[best] / (kept * len(own))))
+    return out

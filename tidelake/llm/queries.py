@@ -14,19 +14,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_as_files(spark, sf_dir)).drop("own_score")
+    """Whole texts compared with full licence texts, headers, notices and tags."""
+    return licenses.scan(_as_files(spark, sf_dir), whole=True).drop("own_score")
 
 
-def op2_license_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op2_license_scan, with whole texts compared with full licence texts and headers."""
-    return licenses.scan(_as_files(spark, sf_dir), whole=True).drop("own_score")
+def op2_license_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_license_scan, with lines that have a cue compared with one-sentence notices, which SQL can express."""
+    return licenses.scan(_as_files(spark, sf_dir)).drop("own_score")
 
 
 def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/thousand/hundred/name, every 25th named LICENSE."""
-    at = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    name = F.when(F.col("doc_id") % 25 == 0, "LICENSE").otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), at(1000), at(100), name).alias("path"), "text")
+    """Documents as files: source/thousand/hundred/name. Every 25th is a LICENSE file, of which every 8th stands a directory
+    higher, and every 40th two."""
+    n = F.col("doc_id")
+    at = lambda k: F.floor(n / k).cast("string")
+    name = F.when(n % 25 == 0, "LICENSE").otherwise(F.concat(F.lit("f"), n.cast("string"), F.lit(".txt")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.when(n % 1000 != 0, at(1000)), F.when(n % 200 != 0, at(100)), name).alias("path"), "text")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,16 +51,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines, and lines and pairs of lines of over 50 words."""
     out = linededup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def op7_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_line_dedup, with lines and pairs of lines of over 50 words as runs too."""
-    out = linededup.line_dedup(table(spark, sf_dir, "documents"), words=linededup.WORDS)
-    return out.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
-
-
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """``ranks``: the path of a rank file; by default the public 50k vocabulary."""
     import public_tokenizers
@@ -74,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op2_license_scan_whole, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op7_line_dedup_passages, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_license_scan, op2_license_scan_lines, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_sharding, op7_line_dedup, op8_bpe_roundtrip, op9_decontaminate, op10_warc)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -83,8 +81,8 @@ _TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
-    "op2_license_scan": rf"""
-WITH d AS (SELECT doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS dir, CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || '.txt' END AS name, text FROM documents),
+    "op2_license_scan_lines": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, 'none') || CASE WHEN doc_id % 1000 <> 0 THEN '/' || (doc_id // 1000) ELSE '' END || CASE WHEN doc_id % 200 <> 0 THEN '/' || (doc_id // 100) ELSE '' END AS dir, CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || '.txt' END AS name, text FROM documents),
 t AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all({_LOW.format('about')}, '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES}) AS v(template, about)) GROUP BY ALL),
 c AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+'))) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY term),
 i AS (SELECT DISTINCT term, 1 + ln((1.0::double + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) AS idf FROM t LEFT JOIN c USING (term)),
@@ -94,9 +92,11 @@ u AS (SELECT doc_id, k, term, count(*) * coalesce(any_value(idf), 1 + ln(1.0::do
 n AS (SELECT doc_id, k, sqrt(sum(u * u)) AS length FROM u GROUP BY doc_id, k),
 s AS (SELECT doc_id, template, round(sum(u * w / norm) / any_value(length), 9) AS score FROM u JOIN w USING (term) JOIN n USING (doc_id, k) GROUP BY doc_id, k, template),
 o AS (SELECT doc_id, template AS own, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn FROM s WHERE score >= {licenses.LEAST}) WHERE rn = 1),
-g AS (SELECT dir, own AS given FROM (SELECT dir, own, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own) AS rn FROM d JOIN o USING (doc_id) WHERE name = 'LICENSE') WHERE rn = 1)
-SELECT doc_id, dir || '/' || name AS path, own AS own_licence, coalesce(own, given) AS licence, CASE WHEN own IS NULL AND given IS NOT NULL THEN dir END AS licence_from, CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
-FROM d LEFT JOIN o USING (doc_id) LEFT JOIN g USING (dir)""",
+g AS (SELECT dir, own AS given FROM (SELECT dir, own, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own) AS rn FROM d JOIN o USING (doc_id) WHERE name = 'LICENSE') WHERE rn = 1),
+a AS (SELECT dir, n, array_to_string(parts[1:n], '/') AS above FROM (SELECT dir, parts, unnest(generate_series(1, len(parts))) AS n FROM (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM d))),
+b AS (SELECT dir, above, given FROM (SELECT a.dir, above, given, row_number() OVER (PARTITION BY a.dir ORDER BY n DESC) AS rn FROM a JOIN g ON g.dir = above) WHERE rn = 1)
+SELECT doc_id, dir || '/' || name AS path, own AS own_licence, coalesce(own, given) AS licence, CASE WHEN own IS NULL THEN above END AS licence_from, CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN b USING (dir)""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 7)) AS pos, w FROM d WHERE len(w) > 8),
@@ -130,18 +130,7 @@ x AS (SELECT doc_id, w, p, w[p] AS word FROM (SELECT doc_id, w, unnest(generate_
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM x LEFT JOIN (SELECT doc_id, unnest(gone) AS p FROM r) AS y USING (doc_id, p) WHERE y.p IS NULL GROUP BY x.doc_id)
 SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op6_sharding": "SELECT doc_id, lang, source, n_chars, coalesce(((doc_id % 16) + 16) % 16, 0)::bigint AS arrival, sha256(text) AS text_sha256 FROM documents",
-    "op7_line_dedup": r"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid FROM l),
-s AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM f WHERE solid),
-w AS (SELECT doc_id, pos, h || chr(10) || lead(h) OVER o || chr(10) || lead(h, 2) OVER o AS k FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-q AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM w WHERE k IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM q WHERE n > 1),
-y AS (SELECT s.doc_id, s.i FROM s JOIN g USING (doc_id, pos)),
-k AS (SELECT f.doc_id, string_agg(line, chr(10) ORDER BY f.i) AS kept FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i WHERE y.i IS NULL GROUP BY f.doc_id),
-c AS (SELECT f.doc_id, count(*) FILTER (WHERE solid) AS n_lines, count(y.i) AS n_deleted FROM f LEFT JOIN y ON f.doc_id = y.doc_id AND f.i = y.i GROUP BY f.doc_id)
-SELECT doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_deleted, 0)::bigint AS n_deleted, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
-    "op7_line_dedup_passages": rf"""
+    "op7_line_dedup": rf"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid FROM l),
 s AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM f WHERE solid),
