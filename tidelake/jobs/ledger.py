@@ -50,8 +50,10 @@ class Ledger:
         if path:
             self._class = spark._jvm.org.apache.hadoop.fs.Path
             self.fs = self._class(path).getFileSystem(spark._jsc.hadoopConfiguration())
-            if self.fs.exists(self._class(path)):
-                self.load("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+            for place in (path, f"{path}.before"):
+                if self.fs.exists(self._class(place)):
+                    self.load("".join(r[0] for r in spark.read.text(place, wholetext=True).collect()))
+                    break
 
     def load(self, text: str) -> None:
         for name, value in json.loads(text).items():
@@ -67,8 +69,12 @@ class Ledger:
         out = self.fs.create(aside, True)
         out.write(bytearray(self.dump(), "utf-8"))
         out.close()
-        self.fs.delete(final, False)
-        self.fs.rename(aside, final)
+        before = self._class(f"{self.path}.before")  # read if a failure leaves no other
+        self.fs.delete(before, False)
+        if self.fs.exists(final) and not self.fs.rename(final, before):
+            raise OSError(f"{self.path} could not be moved aside")
+        if not self.fs.rename(aside, final):
+            raise OSError(f"{self.path} could not be written; the last state is in {self.path}.before")
 
     # ingestion from sources: windows of time
 

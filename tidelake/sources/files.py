@@ -8,7 +8,7 @@ import shutil
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -37,16 +37,21 @@ def read_json_pages(spark: SparkSession, path: str, fields: Iterable[str] = ACTI
     return rows.where(F.col("r").isNotNull() | F.col(CORRUPT).isNotNull()).select(*[F.col(f"r.{f}").alias(f) for f in fields], "_page", "_source_file", CORRUPT)
 
 
+def _csv(spark: SparkSession) -> DataFrameReader:
+    """Quoted fields may hold line ends, and quotes written twice."""
+    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+
+
 def read_csv(spark: SparkSession, path: str, ddl: str, row_number: str | None = None, order: Iterable[str] = ()) -> DataFrame:
     """Typed CSV with a header: empty texts are null, a byte order mark is ignored, and a missing column is an error.
 
     ``row_number`` adds a number from 1 in the order of ``order``, which has to be total.
     """
     want = StructType.fromDDL(ddl)
-    head = [c.lstrip("﻿") for c in spark.read.option("header", True).csv(path).columns]
+    head = [c.lstrip("﻿") for c in _csv(spark).csv(path).columns]
     if absent := [f.name for f in want if f.name not in head]:
         raise ValueError(f"{path} has no columns {absent}")
-    raw = spark.read.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path).toDF(*head)
+    raw = _csv(spark).option("nullValue", "").option("emptyValue", "").csv(path).toDF(*head)
     out = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
     if row_number:
         from ..operators.aggregates import global_rank

@@ -6,12 +6,17 @@ import uuid
 from collections.abc import Sequence
 from datetime import date, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import merge_versions
 
 
+#: What begins the name of a folder that a swap has moved aside; readers skip such names.
+ASIDE = "._aside_"
+
+
 class Lake:
     """Tables under ``root``: <root>/<layer>/[<source>/]<table>/[<column>=<day>/]."""
 
@@ -37,13 +42,35 @@ class Lake:
         return sorted(x for x in found if x[0] not in "._")
 
     def swap(self, source: str, target: str) -> None:
-        """Puts a staged folder in the place of another. Not atomic: after a failure between the two steps the table is
-        rebuilt by a full refresh."""
+        """Puts a staged folder in the place of another, which is moved aside first and deleted last: at any moment one of
+        them is there whole. ``recover`` puts back what a failure between the steps left aside."""
         to = self._path_class(target)
-        self.delete(target)
+        aside = self._path_class(f"{to.getParent().toString()}/{ASIDE}{to.getName()}")
         self.fs.mkdirs(to.getParent())
-        if not self.fs.rename(self._path_class(source), to):
-            raise OSError(f"{source} could not be moved to {target}")
+        self.recover(to.getParent().toString())
+        if self.fs.exists(to) and not self.fs.rename(to, aside):
+            raise OSError(f"{target} could not be moved aside")
+        try:
+            moved, why = self.fs.rename(self._path_class(source), to), None
+        except Py4JJavaError as e:  # some file systems raise where others say no
+            moved, why = False, e
+        if not moved:
+            self.recover(to.getParent().toString())
+            raise OSError(f"{source} could not be moved to {target}") from why
+        self.fs.delete(aside, True)
+
+    def recover(self, folder: str) -> None:
+        """Finishes swaps in a folder that were broken off: what was moved aside goes back where nothing is in its place."""
+        if not self.exists(folder):
+            return
+        for status in self.fs.listStatus(self._path_class(folder)):
+            name = status.getPath().getName()
+            if name.startswith(ASIDE):
+                place = self._path_class(f"{folder}/{name.removeprefix(ASIDE)}")
+                if self.fs.exists(place):
+                    self.fs.delete(status.getPath(), True)
+                else:
+                    self.fs.rename(status.getPath(), place)
 
     # scans
 
@@ -112,17 +139,19 @@ class Lake:
             old = old.where(F.col(partition).isin(touched)) if touched else old.limit(0)
         merged = merge_versions(new, old, list(keys), list(order))
         if partition:
-            merged.repartition(partition).write.partitionBy(partition).parquet(staging)
+            # Rebalanced, so that a very large day is split over several tasks and small ones get one file.
+            merged.hint("rebalance", F.col(partition)).write.partitionBy(partition).parquet(staging)
         else:
             merged.write.parquet(staging)
         try:
             names = self.folders(staging) if partition else []
             rows = self.spark.read.parquet(staging).count() if names or not partition else 0
-            if not partition:
-                self.swap(staging, path)
-            else:
-                if full_refresh:
+            if not partition or full_refresh:
+                if rows or not partition:
+                    self.swap(staging, path)
+                else:
                     self.delete(path)
+            else:
                 for name in names:
                     self.swap(f"{staging}/{name}", f"{path}/{name}")
         finally:
@@ -130,8 +159,8 @@ class Lake:
         return rows
 
     def regroup(self, df: DataFrame, path: str, column: str, by: Column) -> None:
-        """Writes ``df`` in coarser partitions, one file each."""
-        df.withColumn(column, by).repartition(column).write.mode("overwrite").partitionBy(column).parquet(path)
+        """Writes ``df`` in coarser partitions, of one file each or several of the size that adaptive execution aims at."""
+        df.withColumn(column, by).hint("rebalance", F.col(column)).write.mode("overwrite").partitionBy(column).parquet(path)
 
 
 HIVE_TYPES = {"long": "bigint", "integer": "int", "short": "smallint", "byte": "tinyint"}
