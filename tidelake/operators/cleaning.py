@@ -106,8 +106,8 @@ def build_products(raw: DataFrame, translation: DataFrame, extra: Mapping[str, s
     return joined.select(
         "product_id", F.coalesce("product_category_name", F.lit(UNKNOWN_CATEGORY)).alias("product_category_name"),
         F.coalesce("_english", more, F.lit(UNKNOWN_CATEGORY)).alias("product_category_name_english"),
-        F.col("product_name_lenght").alias("product_name_length"), F.col("product_description_lenght").alias("product_description_length"), F.col("product_photos_qty").alias("photos_qty"),
-        F.col("product_weight_g").alias("weight_g"), F.col("product_length_cm").alias("length_cm"), F.col("product_height_cm").alias("height_cm"), F.col("product_width_cm").alias("width_cm"),
+        F.col("product_name_lenght").alias("product_name_length"), F.col("product_description_lenght").alias("product_description_length"), "product_photos_qty",
+        "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm",
     )
 
 

@@ -1,4 +1,4 @@
-"""Joins. A side is broadcast only after its rows were counted against a bound; beyond that Spark shuffles it."""
+"""Joins. A side is broadcast only after its rows and bytes were counted against bounds; beyond that Spark shuffles it."""
 
 from __future__ import annotations
 
@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.keys import salt
 
 #: Rows of a side that are broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; counting stops there."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most BROADCAST_BYTES together, by the default sizes of
+    their columns and the lengths of their texts; counting stops there."""
+    texts = [F.octet_length(F.col(f"`{f.name}`").cast("binary") if f.dataType.typeName() == "string" else F.col(f"`{f.name}`")) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    plain = 16 * (len(df.columns) + 1)
+    size = F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(plain)))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def lookup(df: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:

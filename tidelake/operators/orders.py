@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import payments_per_order
 from .joins import lookup
+from .replay import MILESTONES
 
 MONEY = "decimal(12,2)"
 
@@ -33,11 +34,11 @@ def allocate_payment(lines: DataFrame, order: str = "order_id", line: str = "ord
 def order_lines(items: DataFrame, orders: DataFrame, payments: DataFrame, customers: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
     """The wide table: items with their order (inner), payment totals (left), and attributes of customer, product and
     seller (left). Payments are aggregated first, so that nothing fans out."""
-    head = orders.select("order_id", "customer_id", "order_status", "order_purchase_timestamp", F.to_date("order_purchase_timestamp").alias("order_purchase_date"), "order_delivered_customer_date", "order_estimated_delivery_date")
-    joined = items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value").join(head, "order_id").join(payments_per_order(payments), "order_id", "left")
+    head = orders.select("order_id", "customer_id", "order_status", "order_purchase_timestamp", F.to_date("order_purchase_timestamp").alias("order_purchase_date"), *MILESTONES, "order_estimated_delivery_date")
+    joined = items.select("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value").join(head, "order_id").join(payments_per_order(payments), "order_id", "left")
     joined = lookup(joined, customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state"), ["customer_id"])
-    joined = lookup(joined, products.select("product_id", "product_category_name_english"), ["product_id"])
-    joined = lookup(joined, sellers.select("seller_id", "seller_state"), ["seller_id"])
+    joined = lookup(joined, products.select("product_id", "product_category_name", "product_category_name_english"), ["product_id"])
+    joined = lookup(joined, sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"), ["seller_id"])
     return allocate_payment(joined.withColumn("line_total", (F.col("price") + F.col("freight_value")).cast(MONEY)))
 
 

@@ -27,11 +27,11 @@ def order_as_of(orders: DataFrame, day: Column) -> DataFrame:
     return orders.where(F.to_date("order_purchase_timestamp") <= day).withColumns({**visible, "order_status": status})
 
 
-def change_days(orders: DataFrame) -> DataFrame:
-    """(order_id, day) of the purchase and of each later milestone."""
+def change_days(orders: DataFrame, *keep: Column) -> DataFrame:
+    """(order_id, day), and what else is to be kept, of the purchase and of each later milestone."""
     bought = F.to_date("order_purchase_timestamp")
     days = F.array_distinct(F.array(bought, *[F.greatest(F.to_date(c), bought) for c in MILESTONES]))
-    return orders.select("order_id", F.explode(days).alias("day")).where(F.col("day").isNotNull())
+    return orders.select("order_id", *keep, F.explode(days).alias("day")).where(F.col("day").isNotNull())
 
 
 def review_release_day(review: Column, purchase: Column) -> Column:
@@ -40,7 +40,7 @@ def review_release_day(review: Column, purchase: Column) -> Column:
 
 def daily_index(orders: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """Per day: the orders bought, those changed later, and the reviews released. A day's lists are as long as the day."""
-    days = change_days(orders).join(orders.select("order_id", F.to_date("order_purchase_timestamp").alias("bought")), "order_id")
+    days = change_days(orders, F.to_date("order_purchase_timestamp").alias("bought"))
     events = days.select("day", F.when(F.col("day") == F.col("bought"), F.col("order_id")).alias("bought"), F.when(F.col("day") != F.col("bought"), F.col("order_id")).alias("changed"), F.lit(None).cast("string").alias("review"))
     if reviews is not None:
         released = reviews.join(orders.select("order_id", "order_purchase_timestamp"), "order_id")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .aggregates import fingerprint
+from .aggregates import content_hash, fingerprint
 from .joins import compare_outer
+from .routing import REASON
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -64,3 +65,29 @@ def allocation_gaps(lines: DataFrame) -> DataFrame:
 
 def reason_counts(rejected: DataFrame, reason: str = "_reason") -> DataFrame:
     return rejected.groupBy(reason).agg(F.count("*").alias("rows"))
+
+
+def dirt_difference(rejected: DataFrame, dirt: DataFrame, reason: str = REASON) -> DataFrame:
+    """(reason, left_value, right_value): where the rejected rows of a reason aren't as many as ``dirt`` (reason, rows), which
+    was counted at the source by itself, says."""
+    return compare_outer(reason_counts(rejected, reason), dirt.select(reason, "rows"), [reason], "rows").where("NOT agrees")
+
+
+def partition_difference(table: DataFrame, recorded: DataFrame, partition: str) -> DataFrame:
+    """Partitions whose rows aren't as many as the ledger recorded (partition, rows)."""
+    held = table.groupBy(partition).agg(F.count("*").alias("rows"))
+    return compare_outer(held, recorded.select(partition, "rows"), [partition], "rows").where("NOT agrees")
+
+
+def latest_difference(source: DataFrame, cleaned: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """Keys whose newest version at the source isn't the one that the cleaned table has."""
+    newest = source.groupBy(*keys).agg(F.max(version).alias("at"))
+    return compare_outer(newest, cleaned.select(*keys, F.col(version).alias("at")), list(keys), "at").where("NOT agrees")
+
+
+def files_digest(spark: SparkSession, path: str) -> DataFrame:
+    """One row (files, content_md5) of the files under a folder, by their relative paths and contents: equal before and after
+    whatever shouldn't touch them. Files are read as one value each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", "[^/]+/[^/]+$", 0)
+    return content_hash(files.select(name.alias("name"), F.md5("content").alias("md5")), ["name", "md5"]).withColumnRenamed("rows", "files")
