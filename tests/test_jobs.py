@@ -8,7 +8,7 @@ from tidelake.jobs.bronze import BronzeJob
 from tidelake.jobs.gold import GoldJob
 from tidelake.jobs.ledger import IngestRange, Ledger, LayerRun
 from tidelake.jobs.quality import run_layer
-from tidelake.jobs.silver import SilverJob, TableJob
+from tidelake.jobs.silver import SilverJob, TableJob, customer_activity_job, customer_changes_job
 from tidelake.operators.cleaning import tag_order_children, tag_orders
 from tidelake.operators.verify import lake_snapshot
 from tidelake.sources.files import land_lines
@@ -68,7 +68,7 @@ def state(lake):
 
 def test_late_rows_wait_and_reruns_change_nothing(spark, tmp_path):
     lake, ledger = Lake(spark, str(tmp_path / "lake")), Ledger()
-    assert run_day(spark, lake, ledger, D1)["order_items"] == LayerRun(2, 1, 0, 0, 1, 1)
+    assert run_day(spark, lake, ledger, D1)["order_items"] == LayerRun(2, 1, 0, 0, 1, 1, "pending: 0 retried, 1 still waiting")
     second = run_day(spark, lake, ledger, D2)["order_items"]
     assert (second.rows_in, second.rows_pending, second.rows_valid) == (2, 2, 0)
     before = state(lake)
@@ -100,7 +100,7 @@ def test_gold_and_its_quality(spark, tmp_path):
     def put(name, rows, ddl):
         spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(lake.path("silver", name))
 
-    put("products", [("p1", "x", "toys", 1, 1, 1, 1, 1)], "product_id string, product_category_name string, product_category_name_english string, weight_g int, length_cm int, height_cm int, width_cm int, photos_qty int")
+    put("products", [("p1", "x", "toys", 1, 1, 1, 1, 1)], "product_id string, product_category_name string, product_category_name_english string, " + ", ".join(f"product_{c} int" for c in ("weight_g", "length_cm", "height_cm", "width_cm", "photos_qty")))
     put("sellers", [("s1", "1", "sp", "SP")], "seller_id string, seller_zip_code_prefix string, seller_city string, seller_state string")
     put("geolocation", [("1", -23.0, -46.0)], "zip_code_prefix string, lat double, lng double")
     put("customers", [("c1", "u1", "1", "sp", "SP")], "customer_id string, customer_unique_id string, customer_zip_code_prefix string, customer_city string, customer_state string")
@@ -137,25 +137,100 @@ def test_streaming(spark, tmp_path):
 
 def test_reference_tables_and_order_lines(spark, tmp_path):
     lake, ledger = Lake(spark, str(tmp_path / "lake")), Ledger()
-    sellers = spark.createDataFrame([("s1", "SP")], "seller_id string, seller_state string")
+    sellers = spark.createDataFrame([("s1", "1", "sp", "SP")], "seller_id string, seller_zip_code_prefix string, seller_city string, seller_state string")
     BronzeJob(lake, ledger, D1).reference("pg", "sellers", lambda: sellers)
-    build = lambda df: df.select("seller_id", "seller_state")
+    build = lambda df: df.drop("ingest_date", "_ingested_at", "_batch_date", "_source")
     assert SilverJob(lake, ledger, D1).reference("sellers", "pg", ["seller_id"], build).rows_written == 1
     assert SilverJob(lake, ledger, D2).reference("sellers", "pg", ["seller_id"], build) is None
 
     def put(name, rows, ddl, day="order_purchase_date"):
         spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(lake.path("silver", name))
 
-    put("products", [("p1", "toys")], "product_id string, product_category_name_english string")
+    put("products", [("p1", "brinquedos", "toys")], "product_id string, product_category_name string, product_category_name_english string")
     put("customers", [("c1", "u1", "1", "sp", "SP")], "customer_id string, customer_unique_id string, customer_zip_code_prefix string, customer_city string, customer_state string")
-    put("orders", [(f"o{d.day}", "c1", "delivered", end(d), None, end(d), d, d) for d in (D1, D2)], "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp, order_delivered_customer_date timestamp, order_estimated_delivery_date timestamp, order_purchase_date date, _batch_date date")
-    put("order_items", [(f"o{d.day}", 1, "p1", "s1", Dec("9.00"), Dec("1.00"), d, d) for d in (D1, D2)], "order_id string, order_item_id int, product_id string, seller_id string, price decimal(10,2), freight_value decimal(10,2), order_purchase_date date, _batch_date date")
+    put("orders", [(f"o{d.day}", "c1", "delivered", end(d), end(d), None, None, end(d), d, d) for d in (D1, D2)], "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp, order_approved_at timestamp, order_delivered_carrier_date timestamp, order_delivered_customer_date timestamp, order_estimated_delivery_date timestamp, order_purchase_date date, _batch_date date")
+    put("order_items", [(f"o{d.day}", 1, "p1", "s1", end(d), Dec("9.00"), Dec("1.00"), d, d) for d in (D1, D2)], "order_id string, order_item_id int, product_id string, seller_id string, shipping_limit_date timestamp, price decimal(10,2), freight_value decimal(10,2), order_purchase_date date, _batch_date date")
     put("order_payments", [(f"o{d.day}", 1, "card", 1, Dec("10.00"), d, d) for d in (D1, D2)], "order_id string, payment_sequential int, payment_type string, payment_installments int, payment_value decimal(10,2), order_purchase_date date, _batch_date date")
     assert SilverJob(lake, ledger, D1, full_refresh=True).order_lines().rows_written == 2
     assert SilverJob(lake, ledger, D2).order_lines().rows_written == 1  # only the day that it touches
     assert SilverJob(lake, ledger, D3).order_lines().rows_written == 0
     lines = {r.order_id: r for r in lake.read(lake.path("silver", "order_lines")).collect()}
     assert sorted(lines) == ["o1", "o2"] and lines["o1"].allocated_payment == Dec("10.00")
+    assert lines["o1"].product_category_name == "brinquedos" and lines["o1"].seller_city == "sp" and lines["o1"].order_approved_at == end(D1)
+    assert SilverJob(Lake(spark, str(tmp_path / "other")), Ledger(), D1).order_lines().detail.startswith("not there yet")
+
+
+def test_a_reference_is_rebuilt_when_either_source_changes_or_it_is_gone(spark, tmp_path):
+    lake, ledger = Lake(spark, str(tmp_path / "lake")), Ledger()
+    put = lambda day, table, rows, ddl: BronzeJob(lake, ledger, day).reference("pg", table, lambda: spark.createDataFrame(rows, ddl))
+    build = lambda a, b: a.join(b.select("w", "n"), "w").select("k", "w", "n")
+    run = lambda day: SilverJob(lake, ledger, day).reference("products", "pg", ["k"], build, ["products", "words"])
+    put(D1, "products", [("p1", "a"), ("p2", "a")], "k string, w string")
+    assert run(D1) is None  # the other one isn't there yet
+    put(D1, "words", [("a", 1)], "w string, n int")
+    assert (run(D1).rows_in, run(D2)) == (2, None)
+    put(D2, "words", [("a", 2)], "w string, n int")
+    assert run(D2).rows_written == 2 and {r.n for r in lake.read(lake.path("silver", "products")).collect()} == {2}
+    lake.delete(lake.path("silver", "products"))
+    assert run(D3).rows_written == 2
+
+
+def test_changes_and_activity_jobs(spark, tmp_path):
+    lake, ledger = Lake(spark, str(tmp_path / "lake")), Ledger()
+    change = lambda i, **x: {"change_id": i, "customer_unique_id": "u1", "new_zip_code_prefix": "9", "new_city": "rio", "new_state": "RJ", "requested_at": "2017-03-01 08:00:00", "source": "crm"} | x
+    land_lines(str(tmp_path / "crm"), "a.jsonl", [change("a"), change("a"), change("b", new_state=" paraná"), change("c", new_city=None), change("d", customer_unique_id="nobody"), change("e", new_state="??")])
+    (tmp_path / "crm" / "b.jsonl").write_text("{no json\n")
+    page = {"page": 1, "data": [{"customer_unique_id": "u1", "activity_date": "2017-03-01", "sessions": "2"}, {"customer_unique_id": "u1", "activity_date": "x", "sessions": "2"}]}
+    land_lines(str(tmp_path / "api"), "p1.json", [page])
+    BronzeJob(lake, ledger, D1).lines(str(tmp_path / "crm"))
+    BronzeJob(lake, ledger, D1).pages(str(tmp_path / "api"))
+    geo, people = spark.createDataFrame([("9", "Rio")], "zip_code_prefix string, city string"), spark.createDataFrame([("u1",)], "customer_unique_id string")
+    job = SilverJob(lake, ledger, D1)
+    run = job.process(customer_changes_job(geo, people))
+    assert (run.rows_in, run.rows_valid, run.rows_quarantined, run.rows_duplicate, run.rows_written) == (7, 3, 3, 1, 3)
+    assert run.detail == "corrupt_record=1, invalid_state=1, unknown_customer=1, states_fixed=1, cities_filled=1"
+    run = job.process(customer_activity_job(people))
+    assert (run.rows_in, run.rows_valid, run.rows_quarantined) == (2, 1, 1) and "invalid_date=1" in run.detail and "missing_device=1" in run.detail
+    assert ledger.runs[f"silver/customer_activity/{D1}"]["detail"] == run.detail
+
+
+def test_rows_wait_from_the_batch_that_saw_them_and_a_refresh_clears(spark, tmp_path):
+    lake, ledger = Lake(spark, str(tmp_path / "lake")), Ledger()
+    run_day(spark, lake, ledger, D1)
+    far = date(2017, 4, 1)
+    known = lake.read(lake.path("silver", "orders"))
+    items = TableJob("order_items", "pg", ["order_id", "order_item_id"], [F.desc("updated_at")], lambda df: tag_order_children(df, known, ["order_id"]), "order_purchase_date")
+    refreshed = SilverJob(lake, ledger, far, full_refresh=True).process(items)
+    assert (refreshed.rows_pending, refreshed.rows_quarantined, refreshed.rows_valid) == (1, 0, 1)  # seen anew, it waits anew
+    assert lake.partitions(lake.path("silver", "_pending", "order_items"), "batch_date") == [far]
+    assert SilverJob(lake, Ledger(), date(2017, 2, 1)).process(items).detail == "nothing to do"
+
+
+def test_a_broken_swap_loses_nothing(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = lambda n: spark.range(n).withColumn("day", F.lit(D1))
+    target, staged = lake.path("t", "day=1"), lake.path("_staging", "x")
+    rows(3).write.parquet(target)
+    rows(5).write.parquet(staged)
+    with pytest.raises(OSError, match="could not be moved"):
+        lake.swap(lake.path("_staging", "absent"), target)  # fails between the steps
+    assert lake.read(target).count() == 3
+    aside = lake._path_class(lake.path("t", "._aside_day=1"))
+    assert lake.fs.rename(lake._path_class(target), aside) and not lake.exists(target)  # killed between the steps
+    lake.recover(lake.path("t"))
+    assert lake.read(target).count() == 3
+    lake.swap(staged, target)
+    assert lake.read(target).count() == 5 and not lake.fs.exists(aside)
+
+
+def test_the_ledger_outlives_a_broken_save(spark, tmp_path):
+    path = str(tmp_path / "ledger.json")
+    ledger = Ledger(spark, path)
+    ledger.record("silver", "t", D1, IngestRange(D1), LayerRun(1, 1))
+    (tmp_path / "ledger.json").rename(tmp_path / "ledger.json.before")  # killed between the steps
+    assert Ledger(spark, path).dump() == ledger.dump()
+    ledger.record("silver", "t", D2, IngestRange(D2), LayerRun(1, 1))
+    assert len(Ledger(spark, path).runs) == 2
 
 
 def test_replay_days(spark):

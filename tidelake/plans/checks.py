@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..dq.runner import Runner, broken, results_frame
 from ..dq.suite import Check, parse_suite
-from ..operators.joins import orphans
 from .registry import query
 from .roles import table
 
@@ -18,6 +17,13 @@ def _count(df: DataFrame, kind: str, **params) -> DataFrame:
     return df.agg(F.count_if(broken(Check(kind, kind, "error", "table", None, params))).alias("failed_rows"))
 
 
+def _run(spark: SparkSession, tables: dict[str, DataFrame], check: dict, previous=lambda *_: None) -> DataFrame:
+    """The failed rows of one check of the first table, by the runner."""
+    suite = parse_suite("bronze", {"defaults": {"scope": "table"}, "tables": {next(iter(tables)): {"key": [], "checks": [check]}}})
+    results = Runner(suite, date(2024, 1, 15), tables.get, previous).run()
+    return results_frame(spark, "bronze", date(2024, 1, 15), results).select("failed_rows")
+
+
 @query("SELECT count(*) FILTER (WHERE v IS NULL) AS failed_rows FROM (SELECT CASE WHEN event_id % 50 <> 0 THEN value END AS v FROM events)")
 def dq_not_null(spark: SparkSession, d: str) -> DataFrame:
     return _count(table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 50 != 0, F.col("value"))), "not_null", columns=["event_id", "v"])
@@ -25,8 +31,7 @@ def dq_not_null(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT coalesce(sum(n), 0)::bigint AS failed_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
 def dq_unique(spark: SparkSession, d: str) -> DataFrame:
-    groups = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("failed_rows"))
+    return _run(spark, {"bronze.test.lineitem": table(spark, d, "lineitem")}, {"type": "unique", "columns": ["l_orderkey", "l_linenumber"]})
 
 
 @query("SELECT count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase')) AS failed_rows FROM events")
@@ -46,8 +51,20 @@ def dq_expression(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS failed_rows FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def dq_relationship(spark: SparkSession, d: str) -> DataFrame:
-    parents = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return orphans(table(spark, d, "lineitem"), parents, ["l_suppkey"]).agg(F.count("*").alias("failed_rows"))
+    tables = {f"bronze.test.{n}": table(spark, d, n) for n in ("lineitem", "supplier")}
+    return _run(spark, tables, {"type": "relationship", "column": "l_suppkey", "ref": "bronze.test.supplier.s_suppkey", "ref_where": "s_acctbal > 0"})
+
+
+@query("SELECT sum((typeof <> expected)::int)::bigint AS failed_rows FROM (SELECT unnest([typeof(any_value(l_orderkey)), typeof(any_value(l_discount)), typeof(any_value(l_returnflag)), 'absent']) AS typeof, unnest(['BIGINT', 'BIGINT', 'VARCHAR', 'INTEGER']) AS expected FROM lineitem)")
+def dq_schema(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, {"bronze.test.lineitem": table(spark, d, "lineitem")}, {"type": "schema", "columns": {"l_orderkey": "bigint", "l_discount": "bigint", "l_returnflag": "string", "l_absent": "int"}})
+
+
+@query("SELECT (NOT count(*) / (SELECT count(*) FROM lineitem)::double BETWEEN 0.5 AND 2)::int::bigint AS failed_rows FROM orders")
+def dq_row_count_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Orders against as many rows before as there are lines."""
+    before = float(table(spark, d, "lineitem").count())
+    return _run(spark, {"bronze.test.orders": table(spark, d, "orders")}, {"type": "row_count_vs_previous", "min_ratio": 0.5, "max_ratio": 2}, lambda *_: before)
 
 
 SUITE = {
@@ -60,7 +77,7 @@ SUITE = {
             {"type": "range", "column": "value", "min": 50, "severity": "warn"},
             {"type": "expression", "name": "errors_are_small", "expr": "value < 20", "where": "event_type = 'error'"},
             {"type": "relationship", "column": "user_id", "ref": "bronze.test.customer.c_custkey", "ref_where": "c_custkey > 5"},
-            {"type": "schema", "columns": {"event_id": "bigint", "value": "double"}},
+            {"type": "schema", "columns": {"event_id": "bigint", "value": "float"}},
             {"type": "row_count_vs_previous", "min_ratio": 0.5, "max_ratio": 2},
         ]},
         "bronze.test.absent": {"optional": True, "key": [], "checks": [{"type": "not_null", "columns": ["x"]}]},
@@ -75,9 +92,10 @@ UNION ALL SELECT 'accepted_values_event_type', count(*) FILTER (WHERE event_type
 UNION ALL SELECT 'range_value', count(*) FILTER (WHERE value < 50), 'warn' FROM b
 UNION ALL SELECT 'errors_are_small', count(*) FILTER (WHERE event_type = 'error' AND NOT coalesce(value < 20, false)), 'fail' FROM b
 UNION ALL SELECT 'relationship_user_id', count(*) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 5)), 'fail' FROM b
-UNION ALL SELECT 'schema', 0, 'fail' UNION ALL SELECT 'row_count_vs_previous', 0, 'fail')
+UNION ALL SELECT 'schema', (typeof(any_value(value)) <> 'FLOAT')::int, 'fail' FROM b
+UNION ALL SELECT 'row_count_vs_previous', (NOT count(*) / 100.0 BETWEEN 0.5 AND 2)::int, 'fail' FROM b)
 SELECT "check", CASE WHEN failed_rows = 0 THEN 'pass' ELSE bad END AS status, failed_rows FROM r UNION ALL SELECT 'not_null_x', 'skipped', NULL""")
 def dq_suite_report(spark: SparkSession, d: str) -> DataFrame:
     tables = {"bronze.test.events": table(spark, d, "events").withColumn("day", F.to_date("ts")), "bronze.test.customer": table(spark, d, "customer")}
-    results = Runner(parse_suite("bronze", SUITE), date(2024, 1, 15), tables.get).run()
+    results = Runner(parse_suite("bronze", SUITE), date(2024, 1, 15), tables.get, lambda *_: 100.0).run()
     return results_frame(spark, "bronze", date(2024, 1, 15), results).select("check", "status", "failed_rows")

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, lenient_int, normalize_state, parse_first, salt, surrogate_key
+from ..functions import blank_to_null, lenient_int, normalize_state, parse_first, surrogate_key
 from ..functions.clean import ISO_TIME, LOCAL_TIME
 from ..operators import aggregates, cleaning, joins, keys, orders, replay, routing, verify
 from ..sources.files import address_pool
@@ -226,15 +226,11 @@ def replicated_rows(spark: SparkSession, d: str) -> DataFrame:
     return joins.replicate(table(spark, d, "nation"), 4).select("n_nationkey", "copy")
 
 
-@query("SELECT count(*) = 8 AND min(n) > 0 AS spread FROM (SELECT 1 AS n FROM range(0, 8))")
-def salt_spread(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").groupBy(salt(8, "l_orderkey", "l_linenumber", "l_partkey").alias("s")).agg(F.count("*").alias("n"))
-    return n.agg(((F.count("*") == 8) & (F.min("n") > 0)).alias("spread"))
-
-
-@query("SELECT count(*) AS keys, count(DISTINCT p_partkey) AS products FROM part")
+@query("SELECT p_type, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").agg(F.count_distinct(surrogate_key("product", "p_partkey")).alias("keys"), F.count_distinct("p_partkey").alias("products"))
+    """Lines with their parts, joined by the keys that each side makes for itself."""
+    part = table(spark, d, "part").select(surrogate_key("product", "p_partkey").alias("product_sk"), "p_type")
+    return table(spark, d, "lineitem").select(surrogate_key("product", "l_partkey").alias("product_sk")).join(part, "product_sk").groupBy("p_type").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {ORDERS} SELECT order_id, CASE WHEN approved::date <= DATE '1998-01-10' THEN approved::date END AS approved, CASE WHEN carrier::date <= DATE '1998-01-10' THEN carrier::date END AS carrier, CASE WHEN delivered::date <= DATE '1998-01-10' THEN delivered::date END AS delivered,
@@ -250,10 +246,10 @@ def change_days(spark: SparkSession, d: str) -> DataFrame:
     return replay.change_days(roles.orders(spark, d))
 
 
-@query(f"WITH {ORDERS} SELECT day, count(*) FILTER (WHERE day = t0) AS purchased, count(*) FILTER (WHERE day <> t0) AS changed FROM (SELECT DISTINCT order_id, t0::date AS t0, unnest([t0::date, approved::date, carrier::date, coalesce(delivered::date, t0::date)]) AS day FROM ord) GROUP BY day")
+@query(f"WITH {ORDERS} SELECT day, coalesce(string_agg(order_id::varchar, ',' ORDER BY order_id::varchar) FILTER (WHERE day = t0), '') AS purchased, coalesce(string_agg(order_id::varchar, ',' ORDER BY order_id::varchar) FILTER (WHERE day <> t0), '') AS changed FROM (SELECT DISTINCT order_id, t0::date AS t0, unnest([t0::date, approved::date, carrier::date, coalesce(delivered::date, t0::date)]) AS day FROM ord) GROUP BY day")
 def daily_index(spark: SparkSession, d: str) -> DataFrame:
     o = roles.orders(spark, d).withColumn("order_id", F.col("order_id").cast("string"))
-    return replay.daily_index(o).select("day", F.size("purchased").cast("long").alias("purchased"), F.size("changed").cast("long").alias("changed"))
+    return replay.daily_index(o).select("day", F.array_join("purchased", ",").alias("purchased"), F.array_join("changed", ",").alias("changed"))
 
 
 @query("SELECT o_custkey AS customer_id, min(o_orderdate::date) AS first_day FROM orders GROUP BY 1 HAVING min(o_orderdate::date) <= DATE '1995-06-30'")
@@ -291,14 +287,8 @@ def keyed_diff(spark: SparkSession, d: str) -> DataFrame:
     return verify.keyed_diff(*_halves(spark, d), ["k"])
 
 
-@query("SELECT o_orderpriority, sum(x)::bigint AS surplus FROM (SELECT o_orderpriority, 1 AS x FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderpriority, -1 FROM orders WHERE o_orderkey % 3 = 1) GROUP BY 1 HAVING sum(x) <> 0")
-def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    return verify.multiset_difference(o.where(k % 3 == 0).select("o_orderpriority"), o.where(k % 3 == 1).select("o_orderpriority"))
-
-
 @query("SELECT day, sum(x)::bigint AS surplus FROM (SELECT o_orderdate::date AS day, 1 AS x FROM orders UNION ALL SELECT l_shipdate::date, -1 FROM lineitem) GROUP BY 1 HAVING sum(x) <> 0")
-def multiset_difference_whole(spark: SparkSession, d: str) -> DataFrame:
+def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
     """Days of all orders against days of all order lines."""
     day = lambda t, c: table(spark, d, t).select(F.to_date(c).alias("day"))
     return verify.multiset_difference(day("orders", "o_orderdate"), day("lineitem", "l_shipdate"))
@@ -317,9 +307,27 @@ def full_outer_compare(spark: SparkSession, d: str) -> DataFrame:
     return joins.compare_outer(n(0), n(1), ["o_custkey"], "n")
 
 
-@query('SELECT count(*) AS "rows" FROM lineitem')
+_DIGEST = "coalesce(sum(('0x' || substr(h, {}, 15))::bigint), 0)::varchar"
+
+
+@query(f"""WITH r AS (SELECT md5(concat_ws(chr(31), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_shipdate::date)) AS h FROM lineitem)
+SELECT md5(concat_ws('-', {_DIGEST.format(1)}, {_DIGEST.format(17)}, count(*)::varchar)) AS content_md5, count(*) AS "rows" FROM r""")
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.fingerprint(table(spark, d, "lineitem")).select("rows")
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]
+    return aggregates.content_hash(table(spark, d, "lineitem").withColumn("l_shipdate", F.to_date("l_shipdate")), names)
+
+
+@query("SELECT o_orderkey, greatest(o_orderdate::date, DATE '1995-01-01') AS day FROM orders")
+def review_release_days(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", replay.review_release_day(F.lit(datetime(1995, 1, 1, 9)), F.col("o_orderdate")).alias("day"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NULL OR NOT json_valid(props) AS broken FROM events")
+def corrupt_split(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that can't be read as JSON go their own way, whole."""
+    e = table(spark, d, "events").withColumn("r", F.from_json("props", "k string, _corrupt_record string", {"mode": "PERMISSIVE"}))
+    good, bad = routing.split_corrupt(e.select("event_id", "props", "r.k", F.when(F.col("r").isNull(), "").otherwise(F.col("r._corrupt_record")).alias("_corrupt_record")))
+    return good.select("event_id", "k", F.lit(False).alias("broken")).unionByName(bad.select("event_id", F.lit(None).cast("string").alias("k"), F.lit(True).alias("broken")))
 
 
 @query("SELECT c_custkey, ntile(5) OVER (ORDER BY c_acctbal, c_custkey)::integer AS tile FROM customer")
@@ -342,14 +350,8 @@ def daily_activity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT day FROM (SELECT o_orderdate::date AS day FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT l_shipdate::date FROM lineitem WHERE l_orderkey % 89 = 0)")
-def affected_days(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where(F.col("o_orderkey") % 97 == 0).select(F.to_date("o_orderdate").alias("day"))
-    return orders.affected_days([o, table(spark, d, "lineitem").where(F.col("l_orderkey") % 89 == 0).select(F.to_date("l_shipdate").alias("day"))], "day")
-
-
 @query("SELECT DISTINCT day FROM (SELECT o_orderdate::date AS day FROM orders UNION ALL SELECT l_shipdate::date FROM lineitem) WHERE day IS NOT NULL")
-def affected_days_whole(spark: SparkSession, d: str) -> DataFrame:
+def affected_days(spark: SparkSession, d: str) -> DataFrame:
     """All rows of both tables as changed, as in a first load."""
     day = lambda t, c: table(spark, d, t).select(F.to_date(c).alias("day"))
     return orders.affected_days([day("orders", "o_orderdate"), day("lineitem", "l_shipdate")], "day")

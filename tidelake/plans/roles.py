@@ -24,10 +24,11 @@ def line_order() -> list:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = latest_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], line_order())
+    """Shuffled once, by order, which serves the latest version of each line, the join with orders, and sums by order."""
+    latest = latest_per_key(table(spark, sf_dir, "lineitem").repartition("l_orderkey"), ["l_orderkey", "l_linenumber"], line_order())
     return latest.select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
-        F.col("l_extendedprice").cast("decimal(10,2)").alias("price"), (F.col("l_tax") * 100).cast("decimal(10,2)").alias("freight_value"), "l_shipdate",
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("price"), (F.col("l_tax") * 100).cast("decimal(10,2)").alias("freight_value"), "l_shipdate", F.col("l_shipdate").alias("shipping_limit_date"),
     )
 
 
@@ -55,7 +56,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"), F.col("p_type").alias("product_category_name_english"), F.col("p_size").alias("weight_g"), *[F.lit(None).cast("int").alias(c) for c in ("length_cm", "height_cm", "width_cm", "photos_qty")])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"), F.col("p_type").alias("product_category_name_english"), F.col("p_size").alias("product_weight_g"), *[F.lit(None).cast("int").alias(f"product_{c}") for c in ("length_cm", "height_cm", "width_cm", "photos_qty")])
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def dim_date(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS product_id, p_type AS category, p_size::integer AS weight_g FROM part")
 def dim_product(spark: SparkSession, d: str) -> DataFrame:
-    return dims.dim_product(roles.products(spark, d)).select("product_id", F.col("product_category_name_english").alias("category"), "weight_g")
+    return dims.dim_product(roles.products(spark, d)).select("product_id", F.col("product_category_name_english").alias("category"), F.col("product_weight_g").alias("weight_g"))
 
 
 @query("SELECT s_suppkey AS seller_id, n_name AS seller_state, lat FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (SELECT c_nationkey, median(c_acctbal) AS lat FROM customer GROUP BY 1) ON c_nationkey = s_nationkey")
@@ -67,9 +67,15 @@ def dim_customer_versions(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.col("customer_unique_id").alias("customer_id"), F.col("zip_code_prefix").alias("zip"), "city", "state", F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"), "is_current", "version")
 
 
-@query("SELECT 0::bigint AS broken_versions, 0::bigint AS keys_without_one_current")
+#: Versions with planted faults: some end a day early, some aren't current where they should be.
+_FAULTY = "SELECT customer_id, valid_from, valid_to - CASE WHEN city = 'city3' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS valid_to, valid_to = TIMESTAMP '9999-12-31' AND state <> 'state2' AS is_current FROM ver"
+
+
+@query(f"""WITH {VERSIONS}, f AS ({_FAULTY}), n AS (SELECT *, lead(valid_from) OVER (PARTITION BY customer_id ORDER BY valid_from) AS later FROM f),
+k AS (SELECT customer_id, count(*) FILTER (WHERE later <> valid_to) AS b, count(*) FILTER (WHERE is_current) AS c FROM n GROUP BY 1) SELECT coalesce(sum(b), 0)::bigint AS broken_versions, count(*) FILTER (WHERE c <> 1) AS keys_without_one_current FROM k""")
 def scd2_invariants(spark: SparkSession, d: str) -> DataFrame:
-    return dims.without_gaps(_versions(spark, d))
+    early = F.when(F.col("city") == "city3", F.col("valid_to") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("valid_to"))
+    return dims.without_gaps(_versions(spark, d).withColumns({"valid_to": early, "is_current": F.col("is_current") & (F.col("state") != "state2")}))
 
 
 def _fact(spark: SparkSession, d: str) -> DataFrame:
@@ -82,9 +88,12 @@ def fact_with_version(spark: SparkSession, d: str) -> DataFrame:
     return _fact(spark, d).select("order_id", "order_item_id", "date_key", "customer_state")
 
 
-@query(f"WITH {ITEMS} SELECT count(*) AS facts, 0::bigint AS invalid FROM items JOIN orders ON o_orderkey = order_id")
+@query(f"""WITH {VERSIONS}, {ITEMS} SELECT count(*) AS facts, count(*) FILTER (WHERE v.customer_id IS NULL OR o.t0 < v.valid_from + CASE WHEN v.city = 'BUILDING' THEN INTERVAL 30 DAY ELSE INTERVAL 0 DAY END) AS invalid
+FROM items JOIN ord o USING (order_id) LEFT JOIN ver v ON v.customer_id = o.customer_id AND o.t0 >= v.valid_from AND o.t0 < v.valid_to""")
 def fact_versions_hold(spark: SparkSession, d: str) -> DataFrame:
-    return verify.lookup_is_valid(_fact(spark, d), _versions(spark, d))
+    """Facts against versions of which some are taken to start thirty days later."""
+    late = F.when(F.col("city") == "BUILDING", F.col("valid_from") + F.expr("INTERVAL 30 DAYS")).otherwise(F.col("valid_from"))
+    return verify.lookup_is_valid(_fact(spark, d), _versions(spark, d).withColumn("valid_from", late))
 
 
 _RFM = f"""{ORDERS}, per AS (SELECT customer_id, sum(paid) AS ltv, count(DISTINCT order_id) AS n, min(t0::date) AS first, max(t0::date) AS last FROM ord WHERE order_status <> 'canceled' AND t0::date <= DATE '{AS_OF}' GROUP BY 1),
@@ -175,9 +184,11 @@ def answers_by_status(spark: SparkSession, d: str) -> DataFrame:
     return _sales(spark, d).groupBy("order_status").agg(F.count("*").alias("items"), F.sum("price").cast("double").alias("revenue"), F.min("order_purchase_date").alias("first"), F.max("order_purchase_date").alias("last"))
 
 
-@query("SELECT o_custkey FROM orders WHERE false")
+@query("""SELECT k AS o_orderkey, coalesce(l, 0)::double AS lines, coalesce(w, 0)::double AS whole FROM (SELECT coalesce(l_orderkey, o_orderkey) AS k, l, w
+FROM (SELECT l_orderkey, sum(l_extendedprice::decimal(12,2)) AS l FROM lineitem GROUP BY 1) FULL JOIN (SELECT o_orderkey, o_totalprice::decimal(12,2) AS w FROM orders) ON l_orderkey = o_orderkey) WHERE coalesce(l, 0) <> coalesce(w, 0)""")
 def sums_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Daily sums by customer against the whole: no customer differs."""
-    o = table(spark, d, "orders").withColumn("v", F.col("o_totalprice").cast("decimal(12,2)"))
-    parts = o.groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.sum("v").alias("v"))
-    return verify.sums_agree(parts, o.groupBy("o_custkey").agg(F.sum("v").alias("v")), "o_custkey", "v", "v").select("o_custkey")
+    """Orders whose total isn't the sum of their lines."""
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").cast("decimal(12,2)").alias("v"))
+    wholes = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(22,2)").alias("v"))
+    amount = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    return verify.sums_agree(parts, wholes, "o_orderkey", "v", "v").select("o_orderkey", amount("left_value").alias("lines"), amount("right_value").alias("whole"))
