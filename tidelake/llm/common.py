@@ -67,6 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpoint in as many partitions as keep about ``rows`` rows each, if it has more: small frames then don't start a
+    task, and write no files, for every shuffle partition. A frame that is large enough stays as it is."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))  # does nothing where there are fewer
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and its Path class."""
     jvm = spark._jvm

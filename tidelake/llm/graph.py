@@ -8,7 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import packed
+
+
+#: Links that a task takes.
+ROWS = 100_000
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,19 +55,19 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     then nodes with one label are connected, but a component may still have several. Labels are found by grouping and
     plain joins, which are dealt anew where a node has very many links; each round ends with a checkpoint.
     """
-    edges = cut(links.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select("u", "v").mapInArrow(forest, "u long, v long").distinct())
+    edges = packed(links.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select("u", "v").mapInArrow(forest, "u long, v long").distinct(), ROWS)
     before, n = _state(edges), 0
     while before[0] and (rounds is None or n < rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The least nodes are kept first, so that both sides of the join are shuffled for it alone and adaptive execution can
         # split a node with very many links. Later in the round, links lead from larger nodes, which have few.
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")))
+        least = packed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")), ROWS)
         # large star: larger neighbours go to the least node known here
         large = both.join(least, F.col("u") == F.col("node")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), "m")
         # small star: the node itself and its other smaller neighbours go there
         small = large.join(least, F.col("u") == F.col("node")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = packed(small.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct(), ROWS)
         after, n = _state(edges), n + 1
         if after == before:
             break

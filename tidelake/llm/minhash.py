@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, packed
 from .graph import components
 from .hashing import Hasher, U, chunks, mix, rolling, texts_of, tokens
 
@@ -42,6 +42,8 @@ NODE = "doc_id long, n long, set_a long, set_b long, bands array<long>"
 #: n and m: the shingles of u and v; ``of`` tells u's texts apart where several rows have its doc_id. v's delta to u: what v
 #: has and u lacks, then what u has and v lacks, by hash each.
 COMPARED = "u long, v long, of long, linked boolean, n long, m long, delta array<long>"
+#: Rows that a task takes of frames that hold signatures or deltas, and of those of a few numbers.
+CLASSES, PAIRS = 10_000, 100_000
 #: Shingles of deltas that a batch holds.
 HELD = 1 << 20
 
@@ -153,7 +155,7 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ``a``; one with more partners is dealt to several groups. Of rows that repeat a doc_id, every text is compared."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select(F.col("a").alias("hub"), F.ceil(F.col("n") / PARTNERS).cast("int").alias("groups"))
     dealt = pairs.join(broadcast_if_small(cut(many), 200_000), F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("salt"))
-    dealt = cut(dealt)
+    dealt = packed(dealt, PAIRS)
     uses = dealt.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("id")))
     uses = broadcast_if_small(cut(uses), 200_000)
     texts = docs.select("doc_id", "text").join(uses, F.col("doc_id") == F.col("id")).select("a", "salt", "side", "id", "text")
@@ -183,7 +185,7 @@ def places(own: DataFrame) -> DataFrame:
     pivot. One that isn't may also meet a linked one, whose delta has a shingle at least.
     """
     each = own.select("g", "u", "of", F.explode("delta").alias("shingle")).select("g", F.xxhash64("u", "of", "shingle").alias("key"))
-    often = cut(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"), "n"))
+    often = packed(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"), "n"), PAIRS)
     shared = each.join(often, F.col("key") == F.col("again")).groupBy(F.col("g").alias("of_g")).agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     rate, slack = (100 - PERCENT) / (100 + PERCENT), 1e-9
     apart = F.floor((F.col("d") + rate * (F.col("n") - F.col("m"))) / 2 - slack) + 1  # with one that isn't linked
@@ -192,7 +194,7 @@ def places(own: DataFrame) -> DataFrame:
     rows = own.drop("delta").withColumn("first", F.col("d") - least + 1).join(shared, F.col("g") == F.col("of_g"))
     alone = F.col("d") - F.size("keys")
     found = rows.select("g", "v", "m", "d", alone.alias("alone"), F.posexplode(F.slice("keys", F.lit(1), F.greatest(F.col("first") - alone, F.lit(0)))).alias("i", "k"))
-    return cut(found.select("k.key", "g", "v", "m", "d", (F.col("alone") + F.col("i")).alias("at")))
+    return packed(found.select("k.key", "g", "v", "m", "d", (F.col("alone") + F.col("i")).alias("at")), PAIRS)
 
 
 def _may_link(l: str, r: str) -> Column:
@@ -216,15 +218,15 @@ def links_within(own: DataFrame, links: DataFrame) -> DataFrame:
     at = places(own)
     one = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("x"), "g", "v", "m", "d", "at")).alias("p")).select(F.col("key").alias("same"), "p.*")
     star = at.alias("l").join(one.alias("p"), (F.col("l.key") == F.col("p.same")) & (F.col("l.v") != F.col("p.v")) & _may_link("l", "p"))
-    star = cut(star.select(F.col("l.g").alias("g"), F.col("p.g").alias("h")).distinct())
-    links = cut(links.unionByName(linked(star, own)))
+    star = packed(star.select(F.col("l.g").alias("g"), F.col("p.g").alias("h")).distinct(), PAIRS)
+    links = packed(links.unionByName(linked(star, own)), PAIRS)
     label = cut(components(links, 1))  # nodes of one label are linked, which is enough here
     named = at.join(label, F.col("v") == F.col("node"), "left").select("key", "g", "v", "m", "d", "at", F.coalesce("component", "v").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select(F.col("key").alias("same"))
-    named = cut(named.join(mixed, F.col("key") == F.col("same")).drop("same"))
+    named = packed(named.join(mixed, F.col("key") == F.col("same")).drop("same"), PAIRS)
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.v") < F.col("r.v")) & (F.col("l.label") != F.col("r.label")) & _may_link("l", "r")
     rest = named.alias("l").join(named.alias("r"), on).select(F.col("l.g").alias("g"), F.col("r.g").alias("h")).distinct()
-    return links.unionByName(linked(cut(rest), own))
+    return links.unionByName(linked(packed(rest, PAIRS), own))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,15 +239,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     nodes = cut(docs.select("doc_id", "text").mapInArrow(_nodes, NODE))
     classes = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
-    classes = cut(classes.select("n", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands"))
+    classes = packed(classes.select("n", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands"), CLASSES)
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("rep").alias("h"), "rep")  # one class is the pivot of most of its buckets
     shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("p")).where("size > 1").select(F.col("band").alias("bucket"), F.col("p.rep").alias("pivot"))
     pairs = banded.join(shared, F.col("band") == F.col("bucket")).where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    compared = cut(compare(cut(pairs), docs))
+    compared = packed(compare(packed(pairs, PAIRS), docs), CLASSES)
     links = compared.where("linked").select("u", "v")
-    own = cut(mixed_groups(compared, components(links, 1)))
+    own = packed(mixed_groups(compared, components(links, 1)), CLASSES)
     if not own.isEmpty():
         links = links_within(own, links)
 
