@@ -100,6 +100,36 @@ def test_substrings(spark, docs_of, shard_bytes):
         assert (got[k].n_words, got[k].n_removed, got[k].kept, got[k].kept_sha256) == (n, removed, kept, brute.sha(kept)), k
 
 
+@pytest.mark.parametrize("window", [35, 8, 3, 2])
+def test_automaton_decides_which_windows_recur(window, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(window)
+    for _ in range(20):
+        part = r.integers(0, 3, 60).astype(np.uint64)
+        rows = [r.integers(0, 4, n).astype(np.uint64) for n in (0, 1, window - 1, window, 150)] + [part, np.concatenate([part[20:], part]), np.zeros(50, np.uint64)]
+        counts, words = np.array([len(x) for x in rows]), hashing.mix(np.concatenate(rows))
+        hashes, valid = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+        rolled = hashing.rolling(words, window)
+        hashes[: len(rolled)], valid[: len(rolled)] = rolled, substring.starts(counts, window)
+        found, times = np.unique(hashes[valid], return_counts=True)
+        known = found[times > 1]
+        got = substring.occurrences(words, counts, known, hashes, valid, window)
+        assert got.tolist() == np.flatnonzero(valid & np.isin(hashes, known)).tolist()
+    monkeypatch.setattr(substring, "compiled", lambda words, places, window: (type("Blind", (), {"iter": lambda self, text: []})(), np.zeros(len(words), np.uint64)))
+    assert len(got) and not len(substring.occurrences(words, counts, known, hashes, valid, window))
+
+
+def test_equal_hashes_of_other_words_are_no_occurrence():
+    import numpy as np
+
+    words = hashing.mix(np.arange(8, dtype=np.uint64) % np.uint64(4) + np.array([0] * 7 + [9], np.uint64))
+    hashes = np.array([5, 6, 0, 0, 5, 6, 0, 0], np.uint64)  # of windows of three words; those at 1 and 5 differ in the last
+    valid = np.array([1, 1, 0, 0, 1, 1, 0, 0], bool)
+    got = substring.occurrences(words, np.array([8]), np.array([5, 6], np.uint64), hashes, valid, 3)
+    assert got.tolist() == [0, 1, 4]
+
+
 def test_substrings_repeated_rows_and_empty(spark, docs_of):
     got = substring.remove_repeats(docs_of([(1, BASE), (1, BASE), (None, "a b")])).collect()
     assert sorted((r.n_words, r.n_removed) for r in got) == [(2, 0)] + [(len(BASE.split()), len(BASE.split()))] * 2

@@ -2,14 +2,15 @@
 
 1. Every window of 35 words is hashed; the hashes of a shard of documents go, packed and sorted, to the bucket of their
    leading bits, where those found twice are confirmed and sent back to the shards that hold them.
-2. Each shard compiles an Aho-Corasick automaton from its recurring passages: their words, cut in blocks of 18, of
-   which any window of 35 words inside a passage holds at least one.
-3. Each shard streams its documents through its automaton. The windows around each block that is found are looked up
-   among the confirmed ones, and the words that they cover are removed.
-
-Each document meets one automaton, and an automaton holds only passages of its own documents, so work and memory grow
-with the input. A very common window is one hash per shard. Hashes have 64 bits: among n windows of the corpus about
-n * n / 2**65 pairs of different windows are taken for equal (1e-3 at 2e8 windows, under one at 6e9).
+2. Each shard compiles an Aho-Corasick automaton from its confirmed passages: their words, taken at one place of each
+   confirmed window and cut in blocks of 18, of which any window of 35 words inside a passage holds at least one.
+3. Each shard streams its documents through its automaton, which alone finds the occurrences: a window around a block
+   that is found counts if it has the passage's 35 words, and the words that such windows cover are removed.
+
+Each document meets one automaton, and an automaton holds only passages that its own documents hold, so work and memory
+grow with the input. A very common window is one hash per shard. Passages are confirmed across shards by 64-bit hashes:
+among n windows of the corpus about n * n / 2**65 pairs of different windows are taken for equal (1e-3 at 2e8 windows,
+under one at 6e9). Inside a shard words are compared, by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -119,24 +120,28 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spell(ids: np.ndarray) -> str:
-    """Word numbers as characters; numbers over the greatest code point share characters, so what is found is verified."""
+    """Word numbers as characters; numbers over the greatest code point share characters, so what is found is compared word by word."""
     return (ids % 0x10FFFF + 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def locate(words: np.ndarray, counts: np.ndarray, recurs: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
-    """Which windows of a shard recur: found by the shard's automaton, confirmed by ``recurs``.
+def first_places(known: np.ndarray, hashes: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The confirmed hashes that the shard holds, sorted, and the first word of one window of each."""
+    at = np.flatnonzero(valid)
+    found, first = np.unique(hashes[at], return_index=True)
+    held = np.isin(found, known, assume_unique=True)
+    return found[held], at[first[held]]
 
-    words: the word hashes of all texts; counts: words of each text; recurs, hashes: of the window at each word.
-    """
+
+def compiled(words: np.ndarray, places: np.ndarray, window: int):
+    """The automaton of the passages that the windows at ``places`` make up, and each word's number in its alphabet (0:
+    not in a passage). Its patterns are the blocks of (window + 1) // 2 words that a passage is cut into."""
     import ahocorasick
 
     block = (window + 1) // 2
-    at = np.flatnonzero(recurs)
-    at = np.sort(at[np.unique(hashes[at], return_index=True)[1]])  # the first place of each recurring window
+    at = np.sort(places)
     runs = np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)
     begins = np.concatenate([np.arange(r[0], r[-1] + window - block + 1, block) for r in runs])
-    places = begins[:, None] + np.arange(block)
-    letters = np.unique(words[places])
+    letters = np.unique(words[begins[:, None] + np.arange(block)])
     ids = np.searchsorted(letters, words)
     ids[ids == len(letters)] = 0
     ids = np.where(letters[ids] == words, ids + 1, 0)
@@ -144,6 +149,24 @@ def locate(words: np.ndarray, counts: np.ndarray, recurs: np.ndarray, hashes: np
     for s in {spell(ids[p : p + block]) for p in begins}:
         automaton.add_word(s, True)
     automaton.make_automaton()
+    return automaton, ids
+
+
+def occurrences(words: np.ndarray, counts: np.ndarray, known: np.ndarray, hashes: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
+    """The first words of all windows of a shard that recur.
+
+    Every text is streamed through the automaton of the shard's confirmed passages. A window around a block that it finds
+    is an occurrence if its words are those of the passage's window; its hash only tells which window that is. What the
+    automaton doesn't find is not looked at.
+
+    words: the word hashes of all texts; counts: words of each text; known: confirmed hashes, sorted; hashes, valid: of the
+    window at each word, and whether one lies there inside one text.
+    """
+    order, places = first_places(known, hashes, valid)
+    if not len(places):
+        return places
+    automaton, ids = compiled(words, places, window)
+    block = (window + 1) // 2
     near, base = np.zeros(len(words) + 1, np.int64), 0
     for n in counts:
         if n >= window:
@@ -153,7 +176,12 @@ def locate(words: np.ndarray, counts: np.ndarray, recurs: np.ndarray, hashes: np
                 np.add.at(near, np.maximum(base, first - (window - block)), 1)
                 np.add.at(near, first + 1, -1)
         base += n
-    return recurs & (np.cumsum(near[:-1]) > 0)
+    at = np.flatnonzero(valid & (np.cumsum(near[:-1]) > 0))
+    passage = places[np.minimum(np.searchsorted(order, hashes[at]), len(order) - 1)]
+    same = np.ones(len(at), bool)
+    for k in range(window):
+        same &= words[at + k] == words[passage + k]
+    return at[same]
 
 
 def _removed(window: int, keep: bool):
@@ -173,14 +201,11 @@ def _removed(window: int, keep: bool):
         counts, words, hashes, valid = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, words, hashes, valid))
         gone = np.zeros(len(words), bool)
         if len(known) and len(words):
-            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            recurs = valid & (known[place] == hashes)
-            if recurs.any():
-                at = np.flatnonzero(locate(words, counts, recurs, hashes, window))
-                cover = np.zeros(len(words) + 1, np.int64)
-                cover[at] += 1
-                np.add.at(cover, at + window, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+            at = occurrences(words, counts, known, hashes, valid, window)
+            cover = np.zeros(len(words) + 1, np.int64)
+            cover[at] += 1
+            np.add.at(cover, at + window, -1)
+            gone = np.cumsum(cover[:-1]) > 0
         rows, base = [], 0
         for doc_id, text, n in zip(docs.column("doc_id").to_pylist(), texts, counts.tolist(), strict=True):
             parts, lost = text.split(), gone[base : base + n]
