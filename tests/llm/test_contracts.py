@@ -394,6 +394,44 @@ def test_sharding(spark, docs_of):
     assert found.collect() == [] and empty.version() == 0 and empty.read() is None
 
 
+def test_writers_of_one_version_and_retention(spark, docs_of):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.ShardStore(spark, scratch(spark, "shards-race"), target_bytes=40_000)
+
+    def tried(at):
+        try:
+            return store.commit([], at)
+        except RuntimeError as e:
+            return str(e)
+
+    for at in range(5):
+        with ThreadPoolExecutor(8) as pool:
+            got = list(pool.map(tried, [at] * 8))
+        assert sorted(map(str, got)) == [str(at + 1)] + [f"version {at + 1} was committed by another writer"] * 7
+    names = [s.getPath().getName() for s in store.fs.listStatus(store._path(f"{store.root}/manifest"))]
+    assert sorted(names) == [f"v{v:08d}.json" for v in range(1, 6)]
+
+    rows = docs_of([(i, prose(20, i)) for i in range(100)]).repartition(4)
+    old = store.append(rows, F.pmod(F.col("doc_id"), F.lit(5)))
+    assert store.compact() and store.read(old).count() == store.read().count() == 100
+    replaced = {s.path for s in store.shards(old)} - {s.path for s in store.shards()}
+    assert store.vacuum(versions=1) == len(replaced) > 0 and store.vacuum(versions=1) == 0
+    assert store.read().count() == 100 and not any(store.fs.exists(store._path(p)) for p in replaced)
+    with pytest.raises(ValueError):
+        store.vacuum(0)
+
+
+def test_commit_by_rename_does_not_overwrite(spark, monkeypatch):
+    """The way of file systems that aren't local, here on a local one."""
+    monkeypatch.setattr(sharding.ShardStore, "_place", sharding.ShardStore._rename)
+    store = sharding.ShardStore(spark, scratch(spark, "shards-rename"))
+    assert store.commit([sharding.Shard("a", 1, 1)], 0) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit([], 0)
+    assert store.version() == 1 and store.shards() == [sharding.Shard("a", 1, 1)]
+
+
 def test_compaction_plan():
     store = sharding.ShardStore.__new__(sharding.ShardStore)
     store.target, store.fan_in, store.base = 100, 4, 2

@@ -2,7 +2,8 @@
 
 Arrivals are appended as small immutable Parquet shards. Compaction packs shards of one size tier into files near the
 target size. Each change is a new version of a manifest that lists the live shards; it is written aside and renamed
-into place, so a reader sees a version whole or not at all, and what a failed job left behind is never listed.
+put in place whole, so a reader sees a version whole or not at all, and what a failed job left behind is never listed.
+Of writers that commit the same version at the same time, one succeeds. Older versions stay readable until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ class Shard:
 
 
 class ShardStore:
-    """Shards and manifests under ``root``. One writer at a time commits; a second that read the same version fails."""
+    """Shards and manifests under ``root``. Of writers that read the same version the first commits and the others fail."""
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fan_in: int = 4, base_bytes: int = 1 << 20):
         self.spark, self.root, self.target, self.fan_in, self.base = spark, root, target_bytes, fan_in, base_bytes
@@ -58,11 +60,34 @@ class ShardStore:
         out = self.fs.create(aside, False)
         out.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in shards) or "\n", "utf-8"))
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(aside, final):
+        try:
+            self._place(aside, final)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise RuntimeError(f"version {based_on + 1} was committed by another writer") from e
+        finally:
             self.fs.delete(aside, False)
-            raise RuntimeError(f"version {based_on + 1} was committed by another writer")
         return based_on + 1
 
+    def _place(self, aside, final) -> None:
+        """Gives a finished file its name, and fails if the name is taken. Looking first would let two writers through: on
+        a local disk a hard link is made, which the system refuses for a taken name; elsewhere the file is renamed without
+        overwriting, which HDFS checks as one step. Stores that copy on a rename (S3) need a manifest on another one."""
+        jvm = self.spark._jvm
+        if self.fs.makeQualified(final).toUri().getScheme() != "file":
+            self._rename(aside, final)
+            return
+        local = lambda p: jvm.java.io.File(self.fs.makeQualified(p).toUri().getPath()).toPath()
+        jvm.java.nio.file.Files.createLink(local(final), local(aside))
+
+    def _rename(self, aside, final) -> None:
+        jvm, uri = self.spark._jvm, self.fs.makeQualified(final).toUri()
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration()).rename(aside, final, options)
+
     def _written(self, folder: str) -> list[Shard]:
         """The shards of a finished write, with their rows; only footers and paths are read."""
         meta = F.col("_metadata")
@@ -76,7 +101,8 @@ class ShardStore:
         while key in df.columns:
             key = f"_{key}"
         df.withColumn(key, F.lit(0) if arrival is None else arrival).write.partitionBy(key).parquet(folder)
-        live, version = self.shards(), self.version()
+        version = self.version()
+        live = self.shards(version)
         by: dict[str, list[Shard]] = {}
         for s in self._written(folder) if self._has_rows(folder) else []:
             by.setdefault(s.path.split("/")[-2], []).append(s)
@@ -112,8 +138,8 @@ class ShardStore:
         return [g for g in out if len(g) >= self.fan_in or (len(g) > 1 and sum(s.bytes for s in g) >= 0.75 * self.target)]
 
     def compact(self) -> int:
-        """Merges until no tier has enough shards, and returns how many merges there were. Replaced shards are deleted
-        once no manifest from here on lists them. A merged file is written by one task, of at most the target's size."""
+        """Merges until no tier has enough shards, and returns how many merges there were. Replaced shards stay for readers
+        of older versions until ``vacuum``. A merged file is written by one task, of at most the target's size."""
         merges = 0
         while True:
             version = self.version()
@@ -129,10 +155,23 @@ class ShardStore:
             if sum(s.rows for s in new) != sum(s.rows for g in groups for s in g):
                 raise RuntimeError("a merge lost or doubled rows; nothing was committed")
             self.commit([s for s in live if s.path not in gone] + new, version)
-            for p in gone:
-                self.fs.delete(self._path(p), False)
             merges += len(groups)
 
+    def vacuum(self, versions: int = 2) -> int:
+        """Gives up all but the newest ``versions`` versions, and returns how many shards were deleted: those that only
+        versions given up list. Shards go before manifests, so that a vacuum that was stopped can be run again."""
+        if versions < 1:
+            raise ValueError("the newest version can't be given up")
+        newest = self.version()
+        first = max(1, newest - versions + 1)
+        old = [v for v in range(1, first) if self.fs.exists(self._manifest(v))]
+        kept = {s.path for v in range(first, newest + 1) for s in self.shards(v)}
+        gone = {s.path for v in old for s in self.shards(v)} - kept
+        deleted = sum(bool(self.fs.delete(self._path(p), False)) for p in gone)
+        for v in old:
+            self.fs.delete(self._manifest(v), False)
+        return deleted
+
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version whose shards are still there; None if it has no shards."""
         shards = self.shards(version)
